@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,3 +11,11 @@ from pyspark.sql import functions as F
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """withColumn through a generator of one row: later filters and projections can't copy the expression into themselves."""
     return df.select(*(c for c in df.columns if c != name), F.explode(F.array(value)).alias(name))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder (spark.checkpoint.dir); a folder of our own only where none is set, as in tests."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="castgraph-"))
+    return df.checkpoint()

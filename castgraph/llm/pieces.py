@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,45 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP = 3000, 200
 #: Tiers from coarse to fine and the penalty of a cut there. Fixed values.
 PENALTY = {"speech": 0.0, "paragraph": 0.5, "line": 1.5, "sentence": 2.0, "word": 60.0, "character": 4000.0}
-NEWLINE = "(?:\r\n|[\n\r\x85  ])"
-#: What follows the cut: a speaker's name in capitals with a colon or stop, or a name with a colon.
-_SPEECH = re.compile(rf"{NEWLINE}+(?=[>\s]*(?:[^\W\d_a-z][^\n:.]{{0,40}}:\s|[^\W\d_a-z][^\Wa-z ]*(?:[ .'’-][^\Wa-z ]+)*\.\s))")
-_PARAGRAPH = re.compile(rf"{NEWLINE}[^\S\n]*{NEWLINE}\s*")
-_LINE = re.compile(rf"{NEWLINE}+")
-_SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’»)\]]*\s+")
-_WORD = re.compile(r"\s+")
+#: Line ends and the marks that end a sentence or may close it. Fixed values.
+LINE_ENDS = (0x0A, 0x0D, 0x85, 0x2028, 0x2029)
+ENDERS = tuple(map(ord, ".!?…。！？"))
+CLOSERS = tuple(map(ord, "\"'”’»)]“"))
+#: A line that opens a speech: a name in capitals with a colon or stop, or a name with a colon.
+_SPEECH = re.compile(r"[>\s]*(?:[^\W\d_a-z][^\n:.]{0,40}:\s|[^\W\d_a-z][^\Wa-z ]*(?:[ .'’-][^\Wa-z ]+)*\.\s)")
+
+
+@lru_cache(1)
+def _blank() -> np.ndarray:
+    return np.array([chr(i).isspace() for i in range(0x110000)], bool)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Positions behind which a cut is natural, and each one's tier number; the best tier of a position counts."""
-    tier: dict[int, int] = {}
-    for k, pattern in enumerate((_SPEECH, _PARAGRAPH, _LINE, _SENTENCE, _WORD)):
-        for m in pattern.finditer(text):
-            if 0 < m.end() < len(text):
-                tier.setdefault(m.end(), k)
-    at = np.array(sorted(tier), np.int64)
-    return at, np.array([tier[x] for x in at.tolist()], np.int64)
+    """Positions behind which a cut is natural (word starts), and each one's tier number, the best that applies."""
+    codes = _codes(text)
+    blank = _blank()[codes]
+    at = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+    filled = np.flatnonzero(~blank)
+    k = np.searchsorted(filled, at) - 1
+    at, k = at[k >= 0], k[k >= 0]
+    before = filled[k]  # the last character of the word before
+    ends = np.isin(codes, LINE_ENDS)
+    ends[1:] &= ~((codes[1:] == 0x0A) & (codes[:-1] == 0x0D))
+    lines = np.concatenate([[0], np.cumsum(ends)])
+    lines = lines[at] - lines[before + 1]
+    last = before.copy()
+    for _ in range(2):
+        last = np.where(np.isin(codes[last], CLOSERS) & (last > 0), last - 1, last)
+    tier = np.full(len(at), 4, np.int64)
+    tier[np.isin(codes[last], ENDERS)] = 3
+    tier[lines == 1], tier[lines > 1] = 2, 1
+    opens = [i for i in np.flatnonzero(lines > 0).tolist() if _SPEECH.match(text, int(at[i]))]
+    tier[opens] = 0
+    return at, tier
 
 
 def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -54,16 +76,17 @@ def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, np.full(len(at), 5, np.int64)
 
 
-def _starts(text: str, cuts: np.ndarray, overlap: int) -> np.ndarray:
+def _starts(codes: np.ndarray, cuts: np.ndarray, overlap: int) -> np.ndarray:
     """Where the piece behind each cut begins."""
-    words = np.array([m.start() for m in re.finditer(r"(?<!\S)\S", text)], np.int64)
+    blank = _blank()[codes]
+    words = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
     earliest = np.maximum(cuts - overlap, 0)
-    inside = np.array([0 < e < len(text) and not text[e - 1].isspace() and not text[e].isspace() for e in earliest.tolist()], bool)
     if not len(words):
         return earliest
+    inside = (earliest > 0) & ~blank[earliest] & ~blank[earliest - 1]
     k = np.searchsorted(words, earliest)
-    nxt = np.where(k < len(words), words[np.minimum(k, len(words) - 1)], cuts)
-    return np.where(inside & (nxt < cuts), nxt, earliest)
+    following = np.where(k < len(words), words[np.minimum(k, len(words) - 1)], cuts)
+    return np.where(inside & (following < cuts), following, earliest)
 
 
 def _plan(length: int, cuts: np.ndarray, penalty: np.ndarray, starts: np.ndarray, limit: int, target: float) -> list[int] | None:
@@ -99,19 +122,20 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     n = len(text)
     if n <= limit:
         return []
+    codes = _codes(text)
     at, tier = boundaries(text)
     penalties = np.array(list(PENALTY.values()))
     pieces = max(2, int(np.ceil((n - overlap) / (limit - overlap))))
     target = min(limit, (n + (pieces - 1) * overlap) / pieces)
-    for worst in range(1, 6):
+    for worst in (3, 4, 5):
         if worst == 5:
             more, kinds = _characters(text)
             new = ~np.isin(more, at)
             order = np.argsort(np.concatenate([at, more[new]]), kind="stable")
             at, tier = np.concatenate([at, more[new]])[order], np.concatenate([tier, kinds[new]])[order]
-        use = tier <= max(worst, 3)
+        use = tier <= worst
         cuts = at[use]
-        starts = np.maximum.accumulate(_starts(text, cuts, overlap)) if len(cuts) else cuts
+        starts = np.maximum.accumulate(_starts(codes, cuts, overlap)) if len(cuts) else cuts
         path = _plan(n, cuts, penalties[tier[use]], starts, limit, target)
         if path is not None:
             begin = [0, *(int(starts[k]) for k in path)]

@@ -2,8 +2,8 @@
 
 Text.  Spellings are made plain first: compatibility form without marks and invisible characters, look-alike letters and digits or signs
 inside words read as the letters they stand for, letters repeated three times or more read once, words spelled out
-letter by letter joined.  Features are hashed one-, two- and three-word sequences within a sentence (2**FEATURE_BITS buckets), a
-listed term counting also as its kind.  A document's score is that of its worst sentence, so length doesn't matter.
+letter by letter joined.  Features are hashed one-, two- and three-word sequences and pairs around a word within a sentence
+(2**FEATURE_BITS buckets), a listed term counting also as its kind.  A document's score is that of its worst sentence, so length doesn't matter.
 
 Model.  Reviewers' votes give ordered grades: 0 none, 1 disputed, 2 agreed.  P(grade > g) = logistic(w.x - threshold_g): one weight
 vector for all thresholds.  The worst sentence of a document changes with w, so it is chosen anew in each step of the fit.
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
-FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 12_000, 160, 0.08, 2e-3
-LEAST_DOCS = 3
-CASE = 1.0
+FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 12_000, 160, 0.08, 6e-4
+LEAST_DOCS = 2
+CASE = 0.5
 CHUNK = 1 << 18
 #: Letters of other alphabets and signs read as Latin letters. Fixed values.
 LOOKALIKES = dict(zip("авеёзіјкмнорстухѕԁɡιοαενρτυχκ", "abeezijkmhopctyxsdgioaevptuxk", strict=True))
@@ -136,6 +136,8 @@ def features(texts: list[str], kinds: dict[int, int]) -> tuple[np.ndarray, np.nd
         numbers.append(two), where.append(np.where(sentence[1:] == sentence[:-1], sentence[1:], -1))
         three = mix(two[:-1] * np.uint64(5) + mix(words[2:]))
         numbers.append(three), where.append(np.where(sentence[2:] == sentence[:-2], sentence[2:], -1))
+        skip = mix(words[:-2] * np.uint64(7) + mix(words[2:]) + np.uint64(1))
+        numbers.append(skip), where.append(where[-1])
     if kinds:
         listed = np.array(sorted(kinds), np.uint64)
         k = np.minimum(np.searchsorted(listed, words), len(listed) - 1)
@@ -192,16 +194,18 @@ def fit(texts: list[str], grades: np.ndarray, kinds: dict[int, int]) -> Model:
     number_of, doc_of = pair // len(texts), pair % len(texts)
     bad = grades[doc_of] > 0
     in_bad, in_all = np.bincount(number_of, bad, size), np.bincount(number_of, minlength=size)
-    known = in_all >= LEAST_DOCS
-    keep = known[number]
-    number, place = number[keep], place[keep]
+    used = np.flatnonzero(in_all >= LEAST_DOCS)
+    short = np.full(size, -1)
+    short[used] = np.arange(len(used))
+    keep = short[number] >= 0
+    number, place, in_bad, in_all = short[number[keep]], place[keep], in_bad[used], in_all[used]
     order = np.argsort(place, kind="stable")
     number, place = number[order], place[order]
     n_bad, n_good = float((grades > 0).sum()), float((grades == 0).sum())
     odds = np.log((in_bad + 0.5) / (n_bad + 1)) - np.log((in_all - in_bad + 0.5 * n_good / n_bad) / (n_good + 1))
-    weights = np.where(known, np.clip(odds, -2, 2) * 0.3, 0.0)
+    weights = np.clip(odds, -2, 2) * 0.3
     thresholds = np.array([2.0, 2.5])
-    m, v, mt, vt = np.zeros(size), np.zeros(size), np.zeros(2), np.zeros(2)
+    m, v, mt, vt = np.zeros(len(used)), np.zeros(len(used)), np.zeros(2), np.zeros(2)
     bounds = np.searchsorted(place, np.arange(len(owner) + 1))
     of_doc = np.searchsorted(owner, np.arange(len(texts) + 1))
     full = of_doc[1:] > of_doc[:-1]
@@ -221,7 +225,7 @@ def fit(texts: list[str], grades: np.ndarray, kinds: dict[int, int]) -> Model:
         g = g0 + g1
         n = bounds[worst + 1] - bounds[worst]
         at = np.repeat(bounds[worst], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        grad = np.bincount(number[at], np.repeat(g, n), size) / len(docs) + RIDGE / 10 * weights * known
+        grad = np.bincount(number[at], np.repeat(g, n), len(used)) / len(docs) + RIDGE * weights
         grad_t = np.array([-g0.sum(), -g1.sum()]) / len(docs)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mt, vt = 0.9 * mt + 0.1 * grad_t, 0.99 * vt + 0.01 * grad_t * grad_t
@@ -230,7 +234,9 @@ def fit(texts: list[str], grades: np.ndarray, kinds: dict[int, int]) -> Model:
         weights = weights - rate * (m / c) / (np.sqrt(v / c2) + 1e-4)
         thresholds = thresholds - rate * (mt / c) / (np.sqrt(vt / c2) + 1e-4)
         thresholds[1] = max(thresholds[1], thresholds[0] + 0.05)
-    return Model(weights, thresholds, kinds)
+    full_weights = np.zeros(size)
+    full_weights[used] = weights
+    return Model(full_weights, thresholds, kinds)
 
 
 # -- Spark ---------------------------------------------------------------------------------------------------------

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 SPACES = {"w2v": 80, "bert": 96}
 K, LEAST = 5, 0.75
 SAMPLE, QUERIES_FOR_CALIBRATION = 24_000, 1_500
-BRANCH, LEAF, CELL, ROUNDS = 16, 192, 6_000, 8
-RECALL = 0.985
+BRANCH, LEAF, CELL, ROUNDS = 24, 384, 60_000, 8
+RECALL = 0.97
 SLACK = 1e-4  # float32 products are taken a little below the least similarity, then done again in float64
 BATCH = 2048
 
@@ -155,17 +155,19 @@ class Tree:
         for part in np.array_split(at, max(1, len(at) // 256)):
             s = x[part] @ x.T
             s[np.arange(len(part)), part] = -2
-            best = np.argsort(-s, axis=1)[:, :k]
+            best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
             wanted.append(np.where(np.take_along_axis(s, best, 1) >= least, home[best], -1))
         wanted = np.concatenate(wanted)
-        leaves = int(self.leaf.max()) + 1
-        visits = 1
+        leaves, tried = int(self.leaf.max()) + 1, 32
         while True:
-            seen = self.visit(x[at], visits)
-            hit = (wanted[:, :, None] == seen[:, None, :]).any(2) & (wanted >= 0)
-            if visits >= leaves or hit.sum() >= RECALL * (wanted >= 0).sum():
+            seen = self.visit(x[at], min(leaves, tried))
+            hit = (wanted[:, :, None] == seen[:, None, :]) & (wanted >= 0)[:, :, None]
+            reached = np.cumsum(hit.sum((0, 1)))  # each neighbour is in one leaf
+            enough = np.flatnonzero(reached >= RECALL * (wanted >= 0).sum())
+            if len(enough) or tried >= leaves:
                 break
-            visits = min(leaves, visits + max(1, visits // 4))
+            tried *= 2
+        visits = int(enough[0]) + 1 if len(enough) else leaves
         self.visits = visits
 
 
@@ -227,9 +229,9 @@ def _route(trees) -> callable:
                     is_data = np.arange(len(row)) < len(ids)
                     seen = leaves[row]
                     seen = np.where((seen >= 0) & (tree.cell[seen] == goal[:, None]), seen, -1)
-                    visited = [s[s >= 0].tolist() for s in seen]
+                    visited = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((seen >= 0).sum(1))]).astype(np.int32)), pa.array(seen[seen >= 0].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([space] * len(row)), pa.array(goal.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(ids[row]), pa.array(np.where(is_data, leaves[row, 0], -1).astype(np.int32)), pa.array(visited, pa.list_(pa.int32())), column.take(pa.array(row))],
+                        [pa.array([space] * len(row)), pa.array(goal.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(ids[row]), pa.array(np.where(is_data, leaves[row, 0], -1).astype(np.int32)), visited, column.take(pa.array(row))],
                         names=["space", "cell", "block", "id", "leaf", "visits", "vec"],
                     )
 
@@ -253,8 +255,9 @@ def _compare(keep: int, least: float) -> callable:
         ids = table.column("id").to_numpy()
         leaf = table.column("leaf").to_numpy()
         dim = len(table.column("vec")[0]) if len(ids) else 1
-        x = _unit(_matrix(table.column("vec").combine_chunks(), dim))
-        small = x.astype(np.float32)
+        raw = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # as stored, not copied
+        norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
+        unit = lambda at: raw[at] / norm[at].astype(np.float32)[:, None]
         visits = table.column("visits").combine_chunks()
         visit_leaf = visits.flatten().to_numpy(zero_copy_only=False)
         visit_row = np.repeat(np.arange(len(ids)), visits.value_lengths().to_numpy(zero_copy_only=False))
@@ -269,16 +272,18 @@ def _compare(keep: int, least: float) -> callable:
             a, b = np.searchsorted(visit_leaf, [number, number + 1])
             data = data_at[lo:hi]
             step = max(1, (1 << 20) // max(1, len(data)))
+            against = unit(data).T
             for s in range(a, b, step):
                 rows = visit_row[s : min(b, s + step)]
-                q, k = np.nonzero(small[rows] @ small[data].T >= least - SLACK)
+                q, k = np.nonzero(unit(rows) @ against >= least - SLACK)
                 left, right = rows[q], data[k]
                 other = ids[left] != ids[right]
                 left, right = left[other], right[other]
                 cosine = np.empty(len(left))
-                for c in range(0, len(left), 1 << 16):  # exact, a slice at a time
-                    cosine[c : c + (1 << 16)] = np.einsum("ij,ij->i", x[left[c : c + (1 << 16)]], x[right[c : c + (1 << 16)]])
-                cosine = np.round(cosine, 6)
+                for c in range(0, len(left), 1 << 14):  # exact, a slice at a time
+                    at, to = left[c : c + (1 << 14)], right[c : c + (1 << 14)]
+                    cosine[c : c + (1 << 14)] = np.einsum("ij,ij->i", raw[at], raw[to], dtype=np.float64)
+                cosine = np.round(cosine / (norm[left] * norm[right]), 6)
                 good = cosine >= least
                 left, right, cosine = left[good], right[good], cosine[good]
                 best = best_of(ids[left], ids[right], cosine, keep)

@@ -9,14 +9,15 @@ admit a plan, so a word is never cut where a sentence end would do, and no text
 A piece starts ``overlap`` characters before the previous cut, or at the next word start behind that point if
 the point lies inside a word; where there is no word start before the cut, exactly ``overlap`` characters before it.
 
-Defined results: null, empty and short texts give no pieces; a text without any blank is cut at characters, never between
-a base character and its combining mark unless nothing else is possible; equal plans: the earlier cuts win; rows with
+Defined results: null, empty and short texts give no pieces; a word that is
+longer than a piece is cut inside, at one of every GRID characters, before a base character where there is one; equal plans: the earlier cuts win; rows with
 the same id are split each on its own; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 3000, 200
+GRID = 16
 #: Tiers from coarse to fine and the penalty of a cut there. Fixed values.
 PENALTY = {"speech": 0.0, "paragraph": 0.5, "line": 1.5, "sentence": 2.0, "word": 60.0, "character": 4000.0}
 #: Line ends and the marks that end a sentence or may close it. Fixed values.
@@ -69,10 +71,16 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, tier
 
 
-def _characters(text: str) -> tuple[np.ndarray, np.ndarray]:
-    import unicodedata
-
-    at = np.array([i for i in range(1, len(text)) if not unicodedata.combining(text[i])], np.int64)
+def _characters(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every GRID-th position inside the words that are too long for any plan that spares them."""
+    blank = _blank()[_codes(text)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
+    at = [i for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > limit - 2 * overlap for i in range(a + 1, b, GRID)]
+    for k, i in enumerate(at):
+        while i > 1 and unicodedata.combining(text[i]):
+            i -= 1
+        at[k] = i
+    at = np.unique(np.array(at, np.int64))
     return at, np.full(len(at), 5, np.int64)
 
 
@@ -129,7 +137,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     target = min(limit, (n + (pieces - 1) * overlap) / pieces)
     for worst in (3, 4, 5):
         if worst == 5:
-            more, kinds = _characters(text)
+            more, kinds = _characters(text, limit, overlap)
             new = ~np.isin(more, at)
             order = np.argsort(np.concatenate([at, more[new]]), kind="stable")
             at, tier = np.concatenate([at, more[new]])[order], np.concatenate([tier, kinds[new]])[order]

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
-FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 12_000, 160, 0.08, 6e-4
+FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 10_000, 120, 0.08, 6e-4
 LEAST_DOCS = 2
 CASE = 0.5
 CHUNK = 1 << 18
@@ -182,25 +182,29 @@ def fit(texts: list[str], grades: np.ndarray, kinds: dict[int, int]) -> Model:
         for k in set(kinds.values()):
             weights[k >> (64 - FEATURE_BITS)] = 4.0
         return Model(weights, np.array([2.0, 3.0]), kinds)
-    parts, base_s, base_t = [], 0, 0
-    for a in range(0, len(texts), 200):
-        number, place, owner = features(texts[a : a + 200], kinds)
-        parts.append((number, place + base_s, owner + base_t))
-        base_s, base_t = base_s + len(owner), base_t + len(texts[a : a + 200])
-    number, place, owner = (np.concatenate(p) for p in zip(*parts, strict=True))
-    doc = owner[place]
-    # features seen in few texts say nothing
-    pair = np.unique(number * len(texts) + doc)
-    number_of, doc_of = pair // len(texts), pair % len(texts)
-    bad = grades[doc_of] > 0
-    in_bad, in_all = np.bincount(number_of, bad, size), np.bincount(number_of, minlength=size)
+    # features seen in few texts say nothing: a first pass counts texts, a second keeps the rest, sorted by sentence
+    batches = [slice(k, k + 200) for k in range(0, len(texts), 200)]
+    in_bad, in_all = np.zeros(size), np.zeros(size)
+    for part in batches:
+        number, place, owner = features(texts[part], kinds)
+        pair = np.unique(number * 256 + owner[place])
+        np.add.at(in_all, pair // 256, 1)
+        np.add.at(in_bad, pair // 256, grades[part][pair % 256] > 0)
     used = np.flatnonzero(in_all >= LEAST_DOCS)
-    short = np.full(size, -1)
+    short = np.full(size, -1, np.int32)
     short[used] = np.arange(len(used))
-    keep = short[number] >= 0
-    number, place, in_bad, in_all = short[number[keep]], place[keep], in_bad[used], in_all[used]
-    order = np.argsort(place, kind="stable")
-    number, place = number[order], place[order]
+    in_bad, in_all = in_bad[used], in_all[used]
+    parts, base_s, base_t = [], 0, 0
+    for part in batches:
+        number, place, owner = features(texts[part], kinds)
+        number = short[number]
+        keep = number >= 0
+        number, place = number[keep], place[keep]
+        order = np.argsort(place, kind="stable")
+        parts.append((number[order], (place[order] + base_s).astype(np.int32), (owner + base_t).astype(np.int32)))
+        base_s, base_t = base_s + len(owner), base_t + len(texts[part])
+    number, place, owner = (np.concatenate(p) for p in zip(*parts, strict=True))
+    del parts
     n_bad, n_good = float((grades > 0).sum()), float((grades == 0).sum())
     odds = np.log((in_bad + 0.5) / (n_bad + 1)) - np.log((in_all - in_bad + 0.5 * n_good / n_bad) / (n_good + 1))
     weights = np.clip(odds, -2, 2) * 0.3

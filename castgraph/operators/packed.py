@@ -12,7 +12,7 @@ all fields, distributed.  A value that isn't well-formed is spelled out at ILL_C
 A parse whose least possible length exceeds the greatest possible length of another, values common to both
 cancelled, can't be the cheapest whatever the dictionary says, and is dropped before the dictionary is joined; only fields
 with rivals left take part in that join.  This is exact, not a cap, and keeps the shuffle to one partial count by value
-and the ambiguous fields.
+and the ambiguous fields.  The parses are checkpointed, so every field is parsed once.
 
 Defined results: null, blank and placeholder fields give no rows (a placeholder holds no well-formed value);
 delimiters with nothing between them take no place; repeats are kept; equal lengths go to the simpler dialect; rows
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from castgraph.functions import once
+from castgraph.functions import checkpointed, once
 
 #: Characters with a role in packed fields. Fixed values.
 BLANKS = r"\s\x{85}\p{Z}"
@@ -150,7 +150,8 @@ def value_codes(df: DataFrame, pattern: str) -> DataFrame:
 def split_packed(df: DataFrame, id_col: str, field: str, keep: tuple[str, ...] = (), pattern: str = CAST_ID, value: str = "value") -> DataFrame:
     """(id, keep..., pos, value): one row per well-formed value of the field, in the field's cheapest dialect."""
     base = df.select(F.struct(F.col(id_col).alias("id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))).alias("row"), F.col(field).alias("field"))
-    base = parses(base.filter(F.rlike("field", F.lit(rf"[^{BLANKS}]"))), "field", pattern)
+    base = parses(base.filter(F.rlike("field", F.lit(rf"[^{BLANKS}]"))), "field", pattern).select("row", "rivals")
+    base = checkpointed(base)  # used three times; parsing is the costly part
     sure = base.filter(F.size("rivals") == 1).select("row", F.col("rivals")[0]["values"].alias("values"))
     unsure = base.filter(F.size("rivals") > 1)
     each = unsure.select("row", F.posexplode("rivals").alias("i", "p")).select("row", "i", "p", F.explode(F.array_distinct("p.values")).alias("value"))

@@ -211,4 +211,21 @@ def p4_found(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs}
-SQL: dict[str, str] = {}
+
+
+def _sql() -> dict[str, str]:
+    from castgraph.plans.problems import SQL as general
+
+    return {
+        "p4_found": f"""
+WITH found AS ({general["p5_found"]}),
+sets AS (SELECT DISTINCT play, edge_id, node FROM found JOIN hyperedges USING (row_id) WHERE play IS NOT NULL AND edge_id IS NOT NULL),
+n AS (SELECT play, count(DISTINCT edge_id) AS n FROM sets GROUP BY play),
+c AS (SELECT play, node, count(*) AS c FROM sets GROUP BY ALL),
+m AS (SELECT a.play, a.node AS node1, b.node AS node2, count(*) AS c12 FROM sets a JOIN sets b ON a.play = b.play AND a.edge_id = b.edge_id AND a.node < b.node GROUP BY ALL)
+SELECT m.play, node1, node2 FROM m JOIN n USING (play) JOIN c x ON x.play = m.play AND x.node = node1 JOIN c y ON y.play = m.play AND y.node = node2
+WHERE c12 >= 5 AND n * c12 >= 2 * x.c * y.c"""
+    }
+
+
+SQL = _sql()

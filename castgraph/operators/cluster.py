@@ -90,9 +90,11 @@ def dbscan_1d(df: DataFrame, value: str, eps: float, min_samples: int, group: li
     group = group or []
     by = [*group] or [F.lit(0)]
     v = df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    v = v.withColumn("near", F.sum("n").over(Window.partitionBy(*by).orderBy("v").rangeBetween(-eps, eps))).withColumn("core", F.col("near") >= min_samples)
+    keys = ", ".join(f"`{g}`" for g in group) or "0"
+    near = f"sum(n) OVER (PARTITION BY {keys} ORDER BY v RANGE BETWEEN CAST({eps} AS DOUBLE) PRECEDING AND CAST({eps} AS DOUBLE) FOLLOWING)"
+    v = v.withColumn("near", F.expr(near)).withColumn("core", F.col("near") >= min_samples)
     w = Window.partitionBy(*by).orderBy("v")
-    core_v = F.when("core", F.col("v"))
+    core_v = F.when(F.col("core"), F.col("v"))
     before = F.last(core_v, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(core_v, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     v = v.withColumn("before", before).withColumn("after", after)
@@ -102,7 +104,7 @@ def dbscan_1d(df: DataFrame, value: str, eps: float, min_samples: int, group: li
     high = (F.col("after").isNotNull() & (F.col("after") - F.col("v") <= eps))
     up = high & (~low | (F.col("after") - F.col("v") < F.col("v") - F.col("before")))
     next_number = F.col("number") + F.when(low & (F.col("after") - F.col("before") <= eps), 0).otherwise(1)
-    cluster = F.when("core", F.col("number")).when(up, next_number).when(low, F.col("number")).otherwise(-1)
+    cluster = F.when(F.col("core"), F.col("number")).when(up, next_number).when(low, F.col("number")).otherwise(-1)
     labelled = v.select(*group, F.col("v").alias("_v"), cluster.cast("int").alias("cluster"))
     same = [df[g].eqNullSafe(labelled[g]) for g in group]
     on = df[value].cast("double") == labelled["_v"]

@@ -5,10 +5,12 @@ Pairs meet by (least, greatest), an equi-join key, so each comparison is a hash
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_K = [F.least("char1", "char2").alias("k1"), F.greatest("char1", "char2").alias("k2")]
+
+def _key() -> list[Column]:
+    return [F.least("char1", "char2").alias("k1"), F.greatest("char1", "char2").alias("k2")]
 
 
 def difference(left: DataFrame, right: DataFrame, group: list[str] | None = None, normalise: bool = True) -> DataFrame:
@@ -17,8 +19,8 @@ def difference(left: DataFrame, right: DataFrame, group: list[str] | None = None
     if normalise:
         top = left.groupBy(*group).agg(F.max("value").alias("top"))
         left = (left.join(top, group) if group else left.crossJoin(F.broadcast(top))).withColumn("value", F.col("value") / F.col("top"))  # without a group the right side is one row
-    a = left.select(*group, "char1", "char2", F.col("value").alias("a"), *_K)
-    b = right.select(*group, F.col("value").alias("b"), *_K)
+    a = left.select(*group, "char1", "char2", F.col("value").alias("a"), *_key())
+    b = right.select(*group, F.col("value").alias("b"), *_key())
     return a.join(b, [*group, "k1", "k2"]).select(*group, "char1", "char2", (F.col("a") - F.col("b")).alias("difference"))
 
 
@@ -29,7 +31,7 @@ def compare_wide(metrics: dict[str, DataFrame]) -> DataFrame:
     """
     long = None
     for n, (name, df) in enumerate(metrics.items()):
-        part = df.select(*_K, "char1", "char2", F.col("value").cast("double").alias("value"), (F.col("cluster") if "cluster" in df.columns else F.lit(0)).cast("int").alias("cluster"), F.lit(n).alias("n"), F.lit(name).alias("metric"))
+        part = df.select(*_key(), "char1", "char2", F.col("value").cast("double").alias("value"), (F.col("cluster") if "cluster" in df.columns else F.lit(0)).cast("int").alias("cluster"), F.lit(n).alias("n"), F.lit(name).alias("metric"))
         long = part if long is None else long.unionByName(part)
     aggs = []
     for n, name in enumerate(metrics):
@@ -41,8 +43,8 @@ def compare_wide(metrics: dict[str, DataFrame]) -> DataFrame:
 
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     """(char1, char2, a, b): pairs of both lists; of repeats within a list the greatest value."""
-    a = left.groupBy(*_K).agg(F.max("value").alias("a"))
-    b = right.groupBy(*_K).agg(F.max("value").alias("b"))
+    a = left.groupBy(*_key()).agg(F.max("value").alias("a"))
+    b = right.groupBy(*_key()).agg(F.max("value").alias("b"))
     return a.join(b, ["k1", "k2"]).select(F.col("k1").alias("char1"), F.col("k2").alias("char2"), "a", "b")
 
 
@@ -59,11 +61,13 @@ def entity_book(lists: DataFrame) -> DataFrame:
     return lists.groupBy("name").agg(F.max("book").alias("book"))
 
 
-def book_matrix(pairs: DataFrame) -> DataFrame:
-    """(book_i, book_j, mean): mean value of the pairs between two books, both orders; without pairs 0.  The spine is books x books."""
+def book_matrix(pairs: DataFrame, dense: bool = True) -> DataFrame:
+    """(book_i, book_j, mean): mean value of the pairs between two books, both orders; if ``dense``, books without pairs have 0 (books x books rows)."""
     key = [F.least("book1", "book2").alias("a"), F.greatest("book1", "book2").alias("b")]
     mean = pairs.groupBy(*key).agg(F.avg("value").alias("mean"))
     both = mean.select(F.col("a").alias("book_i"), F.col("b").alias("book_j"), "mean").unionByName(mean.filter("a <> b").select(F.col("b").alias("book_i"), F.col("a").alias("book_j"), "mean"))
+    if not dense:
+        return both
     books = pairs.select(F.explode(F.array("book1", "book2")).alias("book")).filter("book IS NOT NULL").distinct()
     spine = books.withColumnRenamed("book", "book_i").crossJoin(books.withColumnRenamed("book", "book_j"))  # the dense matrix is the result asked for
     return spine.join(both, ["book_i", "book_j"], "left").select("book_i", "book_j", F.coalesce("mean", F.lit(0.0)).alias("mean"))
@@ -122,8 +126,8 @@ def spring_layout(vertices: DataFrame, edges: DataFrame, seed: int = 42, steps:
 def scatter_frame(characters: DataFrame, cooc: DataFrame, cosines: DataFrame) -> DataFrame:
     """(char1, char2, cooc, cosine) of every pair of a character list (idx, name), zeros included."""
     side = lambda k: characters.select(F.col("name").alias(f"char{k}"), F.col("idx").alias(f"i{k}"))
-    spine = side(1).join(side(2), F.col("i1") < F.col("i2")).select("char1", "char2", *_K)  # the character list of a play
-    keyed = lambda df, name: df.select(*_K, F.col("value").alias(name))
+    spine = side(1).join(side(2), F.col("i1") < F.col("i2")).select("char1", "char2", *_key())  # the character list of a play
+    keyed = lambda df, name: df.select(*_key(), F.col("value").alias(name))
     out = spine.join(keyed(cooc, "cooc"), ["k1", "k2"], "left").join(keyed(cosines, "cosine"), ["k1", "k2"], "left")
     return out.select("char1", "char2", F.coalesce(F.col("cooc").cast("double"), F.lit(0.0)).alias("cooc"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 

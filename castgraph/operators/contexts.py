@@ -20,11 +20,17 @@ def context_texts(contexts: DataFrame, books: DataFrame) -> DataFrame:
 
 
 def first_subsequence(tokens: Column, wanted: Column) -> Column:
-    """0-based place of the first occurrence; lower case is tried next; else 0."""
+    """0-based place of the first occurrence of a run of tokens; lower case is tried next; else 0.
+
+    Linear: the run is located in the joined tokens, and the marks before it are counted.
+    """
+    mark = "\x01"
 
     def at(t: Column, w: Column) -> Column:
-        last = F.size(t) - F.size(w) + 1
-        return F.when((last >= 1) & (F.size(w) > 0), F.get(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(t, i, F.size(w)) == w), 0))
+        joined = F.concat(F.lit(mark), F.array_join(t, mark), F.lit(mark))
+        place = F.call_function("locate", F.concat(F.lit(mark), F.array_join(w, mark), F.lit(mark)), joined)
+        before = F.substring(joined, F.lit(1), place - 1)
+        return F.when((place > 0) & (F.size(w) > 0), F.char_length(before) - F.char_length(F.replace(before, F.lit(mark), F.lit(""))))
 
     low = lambda c: F.transform(c, F.lower)
-    return F.coalesce(at(tokens, wanted), at(low(tokens), low(wanted)), F.lit(1)) - 1
+    return F.coalesce(at(tokens, wanted), at(low(tokens), low(wanted)), F.lit(0))

@@ -72,12 +72,12 @@ def embed(df: DataFrame, text: str, out: str = "vec", make: Callable[[], Embedde
     return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
-def word2vec(tokens: DataFrame, dim: int = 7, window: int = 15, seed: int = 42, sentence: int = 1000, partitions: int = 1) -> DataFrame:
+def word2vec(tokens: DataFrame, dim: int = 7, window: int = 15, seed: int = 42, sentence: int = 1000, partitions: int = 1, iterations: int = 10) -> DataFrame:
     """(word, vec) by Spark ML on (book, pos, token): a book's tokens in sentences of ``sentence`` positions."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     part = (F.col("pos") / sentence).cast("bigint")
     sentences = tokens.groupBy("book", part.alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]).alias("words"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=1, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v").fit(sentences)
+    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=iterations, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v").fit(sentences)
     return model.getVectors().select("word", vector_to_array("vector").alias("vec"))

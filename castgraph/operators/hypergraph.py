@@ -25,8 +25,8 @@ def node_totals(members: DataFrame, weights: list[str]) -> DataFrame:
 
 
 def merged_clique_edges(edges: DataFrame) -> DataFrame:
-    """(play, node1, node2, count): published edges with one orientation; of repeats the greatest count."""
-    return edges.filter("node1 IS NOT NULL AND node2 IS NOT NULL").groupBy("play", F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2")).agg(F.max("count").alias("count"))
+    """(play, node1, node2, count): published edges with one orientation; of repeats the greatest count; null nodes and counts are left out."""
+    return edges.filter("node1 IS NOT NULL AND node2 IS NOT NULL AND count IS NOT NULL").groupBy("play", F.least("node1", "node2").alias("node1"), F.greatest("node1", "node2").alias("node2")).agg(F.max("count").alias("count"))
 
 
 def cast_links(cast: DataFrame) -> DataFrame:

@@ -48,9 +48,11 @@ def _or_empty(c: Column, kind: str) -> Column:
 
 
 def _ids(text: Column) -> Column:
-    """The ids of a who value: parts between blanks, without their mark."""
-    parts = F.split(text, r"[\s\x{85}\p{Z}]+")
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, "^#+", "")), lambda x: x != "")
+    """The ids of a who value without their mark: parts between blanks; ids that end in a play's code may hold blanks themselves."""
+    blank = r"[\s\x{85}\p{Z}]+"
+    parts = F.when(F.rlike(text, F.lit(rf"_[A-Z][a-z]{{3}}({blank}|$)")), F.split(text, rf"(?<=_[A-Z][a-z]{{3}}){blank}|{blank}(?=#)")).otherwise(F.split(text, blank))
+    bare = F.transform(parts, lambda x: F.regexp_replace(x, rf"^{blank}|{blank}$|^{blank[:-1]}*#+", ""))
+    return F.filter(bare, lambda x: x != "")
 
 
 # -- XML ----------------------------------------------------------------------------------------------------

@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
-WINDOW, STEPS, SAMPLES, SEED = 10, 3, 6, 7
+WINDOW, STEPS, SEED = 10, 3, 7
+VERIFY = 1 << 16  # candidates compared at once
 CHUNK = 1 << 18  # characters worked on at once
 BLOCK_WORDS = 2_000_000
 #: Repeats of the embedding by permitted word edits; 1 suffices for equal windows, whose embeddings are equal.
-REPEATS = {0: 1, 1: 12, 2: 40}
+REPEATS = {0: 1, 1: 32, 2: 80}
+SAMPLES = {0: 6, 1: 7, 2: 5}
 #: A word cut by a hyphen at a line's end, whose rest may stand behind quote marks.
 _CUT = re.compile("[-‐](?<=[^\\W_].)[^\\S\r\n  \x85]*(?:\r\n|[\n\r  \x85])[>\\s]*(?=[^\\W_])")
 _PAD = np.uint64(0)
@@ -67,14 +69,14 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return substring_hashes(codes, starts, ends) | np.uint64(1), owner
 
 
-def embed(windows: np.ndarray, repeat: int) -> np.ndarray:
-    """The CGK walk of each row of words: rows x STEPS * length."""
+def embed(windows: np.ndarray, repeat: int, steps: int) -> np.ndarray:
+    """The CGK walk of each row of words: rows x steps."""
     n, length = windows.shape
     with np.errstate(over="ignore"):
         turns = mix(windows * np.uint64(2 * (SEED + repeat) + 1) + np.uint64(repeat))
     at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, STEPS * length), np.uint64)
-    for j in range(STEPS * length):
+    out = np.empty((n, steps), np.uint64)
+    for j in range(steps):
         inside = at < length
         here = np.minimum(at, length - 1)
         out[:, j] = np.where(inside, windows[rows, here], _PAD)
@@ -82,11 +84,10 @@ def embed(windows: np.ndarray, repeat: int) -> np.ndarray:
     return out
 
 
-def signatures(windows: np.ndarray, repeat: int) -> np.ndarray:
+def signatures(windows: np.ndarray, repeat: int, samples: int, width: int) -> np.ndarray:
     """The sampled positions of the embedding in one 64-bit value."""
-    width = STEPS * windows.shape[1]
-    pick = np.random.default_rng([SEED, repeat, windows.shape[1]]).choice(width, min(SAMPLES, width), replace=False)
-    walk = embed(windows, repeat)
+    pick = np.random.default_rng([SEED, repeat, width]).choice(width, min(samples, width), replace=False)
+    walk = embed(windows, repeat, width)
     sig = np.full(len(windows), 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in pick:
@@ -109,12 +110,22 @@ def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
+def within_one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The word edit distance where it is 0 or 1, else 2: what is alike in front and behind covers all but one word."""
+    n = min(a.shape[1], b.shape[1])
+    most = max(a.shape[1], b.shape[1])
+    false = np.zeros((len(a), 1), bool)
+    front = np.concatenate([a[:, :n] == b[:, :n], false], 1).argmin(1)
+    behind = np.concatenate([a[:, ::-1][:, :n] == b[:, ::-1][:, :n], false], 1).argmin(1)
+    return np.where((front == n) & (most == n), 0, np.where(front + behind >= most - 1, 1, 2))
+
+
 class Index:
     """Windows of the items by length, and their signatures of each repeat, sorted."""
 
     def __init__(self, item_ids: list[int], texts: list[str], window: int, max_edits: int):
         self.window, self.max_edits = window, max_edits
-        self.repeats = REPEATS.get(max_edits, 40 * max_edits)
+        self.repeats, self.samples = REPEATS.get(max_edits, 40 * max_edits), SAMPLES.get(max_edits, 2)
         words, owner = words_of(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.vocabulary = np.unique(words)
         counts = np.bincount(owner, minlength=len(texts))
@@ -128,7 +139,7 @@ class Index:
             items = np.array(item_ids, np.int64)[np.repeat(mine, n)]
             tables = []
             for r in range(self.repeats):
-                sig = signatures(windows, r)
+                sig = signatures(windows, r, self.samples, STEPS * length)
                 order = np.argsort(sig, kind="stable")
                 tables.append((sig[order], order))
             self.by_length[length] = (windows, items, tables)
@@ -142,26 +153,33 @@ class Index:
         strange = np.concatenate([[0], np.cumsum(self.vocabulary[k] != words)])
         for length, (windows, items, tables) in self.by_length.items():
             edits = min(self.max_edits, length // 4)
-            if len(words) < length:
-                continue
-            begin = np.arange(len(words) - length + 1)
-            fit = (strange[begin + length] - strange[begin] <= edits) & (owner[begin] == owner[begin + length - 1])
-            begin = begin[fit]
-            if not len(begin):
-                continue
-            mine = words[begin[:, None] + np.arange(length)]
-            for r, (sig, order) in enumerate(tables[: 1 if edits == 0 else None]):
-                s = signatures(mine, r)
-                lo, hi = np.searchsorted(sig, s, "left"), np.searchsorted(sig, s, "right")
-                n = hi - lo
-                left = np.repeat(np.arange(len(s)), n)
-                right = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                if edits == 0:
-                    distance = (mine[left] != windows[right]).sum(1)
-                else:
-                    distance = edit_distances(mine[left], windows[right]) if len(left) else np.zeros(0, np.int64)
-                good = distance <= edits
-                found.append(np.stack([owner[begin[left[good]]], items[right[good]], begin[left[good]], distance[good]], 1).astype(np.int64))
+            # with edits a passage may be shorter or longer than the item's window
+            for own in range(length - edits, length + edits + 1):
+                if len(words) < own:
+                    continue
+                begin = np.arange(len(words) - own + 1)
+                begin = begin[(strange[begin + own] - strange[begin] <= edits) & (owner[begin] == owner[begin + own - 1])]
+                if not len(begin):
+                    continue
+                mine = words[begin[:, None] + np.arange(own)]
+                met = []
+                for r, (sig, order) in enumerate(tables[: 1 if edits == 0 else None]):
+                    s = signatures(mine, r, self.samples, STEPS * length)
+                    lo, hi = np.searchsorted(sig, s, "left"), np.searchsorted(sig, s, "right")
+                    n = hi - lo
+                    left = np.repeat(np.arange(len(s)), n)
+                    right = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    if edits == 1:  # one edit leaves the first or the last word as it is
+                        near = (mine[left, 0] == windows[right, 0]) | (mine[left, -1] == windows[right, -1])
+                        left, right = left[near], right[near]
+                    met.append(left * len(windows) + right)
+                left, right = np.divmod(np.unique(np.concatenate(met)), len(windows))  # each candidate is verified once
+                for k in range(0, len(left), VERIFY):
+                    a, b = left[k : k + VERIFY], right[k : k + VERIFY]
+                    distance = (mine[a] != windows[b]).sum(1) if edits == 0 else within_one(mine[a], windows[b]) if edits == 1 else edit_distances(mine[a], windows[b])
+                    good = distance <= edits
+                    a, b = a[good], b[good]
+                    found.append(np.stack([owner[begin[a]], items[b], begin[a], distance[good]], 1).astype(np.int64))
         return np.concatenate(found)
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from castgraph.functions import checkpointed
+
 MOST_DISTINCT = 20_000
 
 
@@ -56,18 +58,19 @@ def cluster_values(pairs: DataFrame, k: int = 5, value: str = "value") -> DataFr
     Works on the distinct values with their counts, so repeated values cost nothing; above MOST_DISTINCT distinct values they are
     first gathered into as many equal-count ranges, whose means stand for them.
     """
+    pairs = checkpointed(pairs)  # read for the distinct values and again for the labels
     rows = pairs.filter(F.col(value).isNotNull())
     distinct = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    size = distinct.count()
-    if size == 0:
+    head = distinct.limit(MOST_DISTINCT + 1).toPandas()
+    if head.empty:
         return pairs.withColumn("cluster", F.lit(None).cast("int"))
-    if size > MOST_DISTINCT:
+    if len(head) > MOST_DISTINCT:
         cuts = rows.approxQuantile(value, np.linspace(0, 1, MOST_DISTINCT + 1)[1:-1].tolist(), 1e-5)
         bounds = np.unique(cuts)
         bucket = F.pandas_udf(lambda v: pd.Series(np.searchsorted(bounds, v, side="right")), "long")
         summary = distinct.withColumn("b", bucket("v")).groupBy("b").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v"), F.sum("n").alias("n")).orderBy("v").toPandas()
     else:
-        summary = distinct.orderBy("v").toPandas()
+        summary = head.sort_values("v", ignore_index=True)
     label, _ = exact_kmeans_1d(summary.v.to_numpy(float), summary.n.to_numpy(float), k)
     first = np.flatnonzero(np.diff(label, prepend=-1))
     limits = [float((summary.v[i - 1] + summary.v[i]) / 2) for i in first[1:]]

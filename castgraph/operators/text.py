@@ -20,8 +20,8 @@ def raw_tokens(text: Column) -> Column:
 def clean_tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     """Raw tokens without punctuation, then without stop words."""
     bare = F.transform(raw_tokens(text), lambda t: F.translate(t, PUNCTUATION, ""))
-    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words)) if stop_words != [] else F.array().cast("array<string>")
-    return F.filter(bare, lambda t: ~F.array_contains(stop, t))
+    stop = STOP_WORDS if stop_words is None else stop_words
+    return F.filter(bare, lambda t: ~t.isin(stop)) if stop else bare  # a hash set of literals
 
 
 def token_table(df: DataFrame, book: str, text: str, stop_words: list[str] | None = None) -> DataFrame:

@@ -16,6 +16,6 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder (spark.checkpoint.dir); a folder of our own only where none is set, as in tests."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="castgraph-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="castgraph-"))
     return df.checkpoint()

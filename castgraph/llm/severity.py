@@ -32,7 +32,7 @@ from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
 FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 10_000, 120, 0.08, 6e-4
 LEAST_DOCS = 2
-CASE = 0.5
+CASE = 0.7
 CHUNK = 1 << 18
 #: Letters of other alphabets and signs read as Latin letters. Fixed values.
 LOOKALIKES = dict(zip("авеёзіјкмнорстухѕԁɡιοαενρτυχκ", "abeezijkmhopctyxsdgioaevptuxk", strict=True))
@@ -258,7 +258,8 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_model(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = MAX_LABELLED) -> Model:
     kinds = term_kinds([(r[0], r[1]) for r in terms.select("term", "kind").dropna().distinct().limit(100_000).collect()])
     chosen = graded(labels).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).drop("h")
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("text", "grade").toArrow()  # bounded by ``most``
+    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade")).select("text", "grade").toArrow()  # at most ``most`` rows
     return fit(rows.column("text").to_pylist(), rows.column("grade").to_numpy(), kinds)
 
 

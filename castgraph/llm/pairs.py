@@ -144,9 +144,9 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([kinds["item"].assign(fitness=x), kinds["basket"].assign(fitness=y)])[["g", "kind", "v", "n", "fitness"]]
 
 
-def _tail(c12: pd.Series, x1: pd.Series, x2: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+def _tail(g: pd.Series, c12: pd.Series, x1: pd.Series, x2: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     expected, p = np.zeros(len(c12)), np.ones(len(c12))
-    keys = pd.factorize(sizes.map(lambda s: tuple((r["n"], r["fitness"]) for r in s)))[0]
+    keys = pd.factorize(g)[0]
     for k in np.unique(keys):
         at = np.flatnonzero(keys == k)
         m, y = (np.array(v, float) for v in zip(*((r["n"], r["fitness"]) for r in sizes.iloc[at[0]]), strict=True))
@@ -170,7 +170,7 @@ def pair_surprise(df: DataFrame, group: str, basket: str, item: str) -> DataFram
     full = items.join(of_degree, ["g", "c"])
     side = lambda s: full.select("g", F.col("item").alias("ab"[s - 1]), F.col("c").alias(f"c{s}"), F.col("fitness").alias(f"x{s}"))
     met = pairs.join(side(1), ["g", "a"]).join(side(2), ["g", "b"]).join(totals.join(n_items, "g").join(of_size, "g"), "g")
-    tail = met.withColumn("tail", F.pandas_udf(_tail, "struct<expected:double,p_value:double>")("c12", "x1", "x2", "sizes"))
+    tail = met.withColumn("tail", F.pandas_udf(_tail, "struct<expected:double,p_value:double>")("g", "c12", "x1", "x2", "sizes"))
     tail = tail.select("g", "a", "b", "c12", "c1", "c2", "n", (F.col("n") * F.col("c12") / (F.col("c1") * F.col("c2"))).alias("lift"), "tail.expected", "tail.p_value", (F.col("k") * (F.col("k") - 1) / 2).alias("tests"))
     return _with_q(tail)
 

@@ -40,8 +40,8 @@ VERIFY = 1 << 16  # candidates compared at once
 CHUNK = 1 << 18  # characters worked on at once
 BLOCK_WORDS = 2_000_000
 #: Repeats of the embedding by permitted word edits; 1 suffices for equal windows, whose embeddings are equal.
-REPEATS = {0: 1, 1: 32, 2: 80}
-SAMPLES = {0: 6, 1: 7, 2: 5}
+REPEATS = {0: 1, 1: 16, 2: 80}
+SAMPLES = {0: 6, 1: 5, 2: 5}
 #: A word cut by a hyphen at a line's end, whose rest may stand behind quote marks.
 _CUT = re.compile("[-‐](?<=[^\\W_].)[^\\S\r\n  \x85]*(?:\r\n|[\n\r  \x85])[>\\s]*(?=[^\\W_])")
 _PAD = np.uint64(0)

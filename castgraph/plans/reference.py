@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from castgraph.functions import once
 from castgraph.functions.words import PUNCTUATION, STOP_WORDS, WHITE_SPACE
 from castgraph.operators import cluster, compare, contexts, cooccur, embed, entities, hypergraph, mlmprep, play, text, vectors
-from castgraph.sources import table
+from castgraph.sources import sinks, table
 
 #: The alias lines of these queries; two of them share an alias, so the two resolutions differ. Fixed values.
 ALIAS_LINES = ["lantern lamp", "crown couronne krone corona", "kettle", "market bazaar lantern", "chapel kapelle chapelle capilla", "mirror miroir spiegel", "winter", "journey voyage reise", "candle kerze bougie vela", "harbour", "mill mühle moulin molino", "wedding hochzeit"]
@@ -259,6 +259,30 @@ def context_vectors(spark, d):
     return vectors.mean_long(embed.embed(ctx, "text"), ["lang", "entity"], "vec")
 
 
+def pairs_aligned(spark, d):
+    """Pairs that have both similarities, with the greatest of each."""
+    p = table(spark, d, "corpus_pairs")
+    side = lambda c: p.filter(F.col(c).isNotNull() & ~F.isnan(c)).select("char1", "char2", F.col(c).alias("value"))
+    out = compare.aligned(side("cosine_similarity_w2v"), side("cosine_similarity_bert"))
+    return out.select("char1", "char2", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+def shared_vocabulary(spark, d):
+    """Words with usable vectors of both spaces, and the last book that has one."""
+    v = _named_vectors(spark, d).select("word", "book", "space").dropna()
+    return v.groupBy("word").agg(F.max("book").alias("book"), F.count_distinct("space").alias("n")).filter("n = 2").drop("n")
+
+
+def graph_node_books(spark, d):
+    lists = _lists(spark, d)
+    nodes, _ = compare.graph(table(spark, d, "corpus_pairs").select("char1", "char2", F.lit(1.0).alias("value")), "w2v")
+    return compare.node_groups(nodes.filter("id IS NOT NULL"), compare.entity_book(lists))
+
+
+def entity_report(spark, d):
+    return sinks.entity_report(_aliases(spark))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -266,7 +290,7 @@ QUERIES = {
         adjacent_speech_cosine_sum, speech_pairs_directed, metric_difference, metric_compare_wide, heatmap_matrix_long, scatter_frame, trend_line, diff_bar,
         graph_edges_inverse_weight, graph_nodes, same_book_flag, entity_book_lookup, book_matrix_mean, order_clique_expansion, order_star_expansion, order_node_totals,
         clique_edges_merged, cast_links, play_types, mask_entities, greedy_chunks, cluster_pairs_kmeans1d, dbscan1d, first_subsequence, tei_speeches, tei_tags,
-        word2vec_vectors, pca_projection, spring_layout, context_vectors,
+        word2vec_vectors, pca_projection, spring_layout, context_vectors, pairs_aligned, shared_vocabulary, graph_node_books, entity_report,
     )
 } | {"token_positions": _tokens, "canonicalize_first_match": _canonical, "mentions_last_match": _mentions}
 
@@ -343,4 +367,8 @@ SQL = {
     "cast_links": "SELECT DISTINCT play, xml_id, regexp_replace(parent, '^#', '') AS parent, relation FROM (SELECT play, xml_id, corresp AS parent, 'corresp' AS relation FROM cast_list UNION ALL SELECT play, xml_id, same_as, 'same_as' FROM cast_list) WHERE parent IS NOT NULL",
     "play_types": "SELECT play_type, count(*) AS n_plays FROM (SELECT play_name, max(nullif(lower(trim(play_type)), '')) AS play_type FROM play_types GROUP BY play_name) GROUP BY play_type",
     "mask_entities": f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array({_masked('text')}, {_q(WHITE_SPACE)}), lambda x: x <> ''), ' ') AS text FROM documents",
+    "pairs_aligned": f"WITH w AS (SELECT least(char1, char2) AS char1, greatest(char1, char2) AS char2, max(cosine_similarity_w2v) AS a FROM corpus_pairs WHERE {_GOOD} GROUP BY ALL), b AS (SELECT least(char1, char2) AS char1, greatest(char1, char2) AS char2, max(cosine_similarity_bert) AS b FROM corpus_pairs WHERE cosine_similarity_bert IS NOT NULL AND NOT isnan(cosine_similarity_bert) GROUP BY ALL) SELECT char1, char2, round(a, 6) AS a, round(b, 6) AS b FROM w JOIN b USING (char1, char2)",
+    "shared_vocabulary": f"WITH v AS ({_VALID}) SELECT word, max(book) AS book FROM v WHERE word IS NOT NULL AND book IS NOT NULL GROUP BY word HAVING count(DISTINCT sp) = 2",
+    "graph_node_books": "WITH b AS (SELECT word AS id, max(book) AS book FROM vectors WHERE book IS NOT NULL AND word IS NOT NULL GROUP BY word), k AS (SELECT book, (row_number() OVER (ORDER BY book) - 1)::INTEGER AS book_idx FROM (SELECT DISTINCT book FROM b)), n AS (SELECT char1 AS id FROM corpus_pairs UNION SELECT char2 FROM corpus_pairs) SELECT n.id, b.book, book_idx FROM n LEFT JOIN b USING (id) LEFT JOIN k USING (book) WHERE n.id IS NOT NULL",
+    "entity_report": _with("aliases", "SELECT count(DISTINCT canonical) AS n_entities, string_agg(DISTINCT canonical, ', ' ORDER BY canonical) AS names FROM aliases"),
 }

@@ -3,14 +3,15 @@
 Fit.  A bounded sample of each space (SAMPLE vectors, those with the smallest hash of their id) gives a tree: k-means
 with BRANCH children on unit vectors, split again until a node stands for about LEAF vectors of the whole collection.
 Trees are broadcast; their size is bounded by the sample's.  The number of leaf visits is calibrated on the sample: queries
-held out of nothing but compared with a brute-force answer over the whole sample; visits widen until RECALL of the true
-neighbours (within k, at the least similarity) is reached.
+held out of nothing but compared with a brute-force answer over the whole sample; visits widen from LEAST_VISITS until RECALL of the
+true neighbours (within k, at the least similarity) is reached.
 
 Search.  Every vector descends the tree best bin first: a priority queue of nodes, best similarity to the centre on top; a
 popped inner node pushes its children, a popped leaf is a visit.  Queues of a batch of queries advance together as
 arrays.  Leaves are grouped into cells, neighbouring leaves of the tree; a vector is shuffled once to its own cell as data, and once to
 each further cell that holds one of its visited leaves, as a query.  A cell compares its queries with the data of the visited
-leaves by matrix products, and returns the best k of each.
+leaves by matrix products, and returns the best k of each. Cells are read as a sorted stream, data first, so a task holds one cell's data and one batch of
+queries, however many queries come.
 
 Skew.  Exact copies of a vector (any number, even a third of all rows) are searched once: a class is its values,
 represented by its smallest id; only its k + 1 smallest ids can ever be on a list, for equal cosines go to the smaller id.
@@ -35,7 +36,9 @@ SPACES = {"w2v": 80, "bert": 96}
 K, LEAST = 5, 0.75
 SAMPLE, QUERIES_FOR_CALIBRATION = 24_000, 1_500
 BRANCH, LEAF, CELL, ROUNDS = 24, 384, 60_000, 8
-RECALL = 0.98
+RECALL = 0.96
+LEAST_VISITS = 4
+MOST_LEAVES = 600  # a tree with more leaves costs more in its queue than it saves in products
 SLACK = 1e-4  # float32 products are taken a little below the least similarity, then done again in float64
 BATCH = 2048
 
@@ -74,11 +77,12 @@ class Tree:
         """x: the sample's unit vectors; total: size of the collection."""
         centres, children, leaf, sizes = [x.mean(0)], [[]], [-1], []
         scale = total / max(1, len(x))
+        size = max(LEAF, total / MOST_LEAVES)
 
         def grow(node: int, rows: np.ndarray) -> None:
             expected = len(rows) * scale
-            if expected > LEAF and len(rows) >= 4:
-                k = int(min(BRANCH, max(2, np.ceil(expected / LEAF)), len(rows) // 2))
+            if expected > size and len(rows) >= 4:
+                k = int(min(BRANCH, max(2, np.ceil(expected / size)), len(rows) // 2))
                 label = _kmeans(x[rows], k, node)
                 if len(np.unique(label)) > 1:
                     for c in np.unique(label):
@@ -168,7 +172,7 @@ class Tree:
                 break
             tried *= 2
         visits = int(enough[0]) + 1 if len(enough) else leaves
-        self.visits = visits
+        self.visits = min(leaves, max(LEAST_VISITS, visits))
 
 
 # -- stages ------------------------------------------------------------------------------------------------------
@@ -249,53 +253,97 @@ def best_of(left: np.ndarray, right_id: np.ndarray, cosine: np.ndarray, keep: in
     return order[rank < keep]
 
 
-def _compare(keep: int, least: float) -> callable:
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids = table.column("id").to_numpy()
-        leaf = table.column("leaf").to_numpy()
-        dim = len(table.column("vec")[0]) if len(ids) else 1
-        raw = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)  # as stored, not copied
+class _Cell:
+    """One cell's data, gathered from the stream, and the search of its queries."""
+
+    def __init__(self, keep: int, least: float):
+        self.keep, self.least = keep, least
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.ListArray]] = []
+        self.built = False
+
+    def add(self, ids: np.ndarray, leaf: np.ndarray, raw: np.ndarray, visits: pa.ListArray) -> None:
+        self.parts.append((ids, leaf, raw, visits))
+
+    def build(self) -> Iterator[pa.RecordBatch]:
+        """Sorts the data by leaf, and answers the data's own queries."""
+        if self.built or not self.parts:
+            self.built = True
+            return
+        self.built = True
+        self.ids = np.concatenate([p[0] for p in self.parts])
+        leaf = np.concatenate([p[1] for p in self.parts])
+        self.raw = np.concatenate([p[2] for p in self.parts])
+        order = np.argsort(leaf, kind="stable")
+        self.ids, self.raw, self.leaf = self.ids[order], self.raw[order], leaf[order]
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.raw, self.raw, dtype=np.float64))
+        own, self.parts = self.parts, []
+        for ids, _, raw, visits in own:
+            yield from self.search(ids, raw, visits)
+
+    def search(self, ids: np.ndarray, raw: np.ndarray, visits: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        if not hasattr(self, "leaf"):
+            return
         norm = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
-        unit = lambda at: raw[at] / norm[at].astype(np.float32)[:, None]
-        visits = table.column("visits").combine_chunks()
-        visit_leaf = visits.flatten().to_numpy(zero_copy_only=False)
-        visit_row = np.repeat(np.arange(len(ids)), visits.value_lengths().to_numpy(zero_copy_only=False))
-        data_at = np.flatnonzero(leaf >= 0)
-        data_at = data_at[np.argsort(leaf[data_at], kind="stable")]
-        data_leaf = leaf[data_at]
-        order = np.argsort(visit_leaf, kind="stable")
-        visit_leaf, visit_row = visit_leaf[order], visit_row[order]
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for number in np.unique(data_leaf):
-            lo, hi = np.searchsorted(data_leaf, [number, number + 1])
-            a, b = np.searchsorted(visit_leaf, [number, number + 1])
-            data = data_at[lo:hi]
-            step = max(1, (1 << 20) // max(1, len(data)))
-            against = unit(data).T
-            for s in range(a, b, step):
-                rows = visit_row[s : min(b, s + step)]
-                q, k = np.nonzero(unit(rows) @ against >= least - SLACK)
-                left, right = rows[q], data[k]
-                other = ids[left] != ids[right]
+        small = raw / norm.astype(np.float32)[:, None]
+        at_leaf = visits.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(ids)), visits.value_lengths().to_numpy(zero_copy_only=False))
+        order = np.argsort(at_leaf, kind="stable")
+        at_leaf, row = at_leaf[order], row[order]
+        first = np.flatnonzero(np.diff(at_leaf, prepend=-1))
+        found = []
+        for a, b in zip(first, np.append(first[1:], len(at_leaf)), strict=True):
+            lo, hi = np.searchsorted(self.leaf, [at_leaf[a], at_leaf[a] + 1])
+            if lo == hi:
+                continue
+            against = (self.raw[lo:hi] / self.norm[lo:hi].astype(np.float32)[:, None]).T
+            step = max(1, (1 << 20) // (hi - lo))
+            for c in range(a, b, step):
+                rows = row[c : min(b, c + step)]
+                hits = np.flatnonzero(small[rows] @ against >= self.least - SLACK)
+                q, k = np.divmod(hits, hi - lo)
+                left, right = rows[q], lo + k
+                other = ids[left] != self.ids[right]
                 left, right = left[other], right[other]
                 cosine = np.empty(len(left))
-                for c in range(0, len(left), 1 << 14):  # exact, a slice at a time
-                    at, to = left[c : c + (1 << 14)], right[c : c + (1 << 14)]
-                    cosine[c : c + (1 << 14)] = np.einsum("ij,ij->i", raw[at], raw[to], dtype=np.float64)
-                cosine = np.round(cosine / (norm[left] * norm[right]), 6)
-                good = cosine >= least
-                left, right, cosine = left[good], right[good], cosine[good]
-                best = best_of(ids[left], ids[right], cosine, keep)
-                found.append((ids[left[best]], ids[right[best]], cosine[best]))
+                for e in range(0, len(left), 1 << 14):  # exact, a slice at a time
+                    i, j = left[e : e + (1 << 14)], right[e : e + (1 << 14)]
+                    cosine[e : e + (1 << 14)] = np.einsum("ij,ij->i", raw[i], self.raw[j], dtype=np.float64)
+                cosine = np.round(cosine / (norm[left] * self.norm[right]), 6)
+                good = cosine >= self.least
+                found.append((ids[left[good]], self.ids[right[good]], cosine[good]))
         if found:
-            left, right, cosine = (np.concatenate(c) for c in zip(*found, strict=True))
-            best = best_of(left, right, cosine, keep)
-            left, right, cosine = left[best], right[best], cosine[best]
-        else:
-            left = right = np.zeros(0, np.int64)
-            cosine = np.zeros(0)
-        return pa.table({"rep": pa.array(left, pa.int64()), "other": pa.array(right, pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+            left, right, cosine = (np.concatenate(f) for f in zip(*found, strict=True))
+            best = best_of(left, right, cosine, self.keep)
+            yield pa.RecordBatch.from_arrays([pa.array(left[best], pa.int64()), pa.array(right[best], pa.int64()), pa.array(cosine[best])], names=["rep", "other", "cosine"])
+
+
+def _compare(keep: int, least: float) -> callable:
+    """A sorted stream of cells, each cell's data before its queries: only one cell's data is held, and a batch of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, key = _Cell(keep, least), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, numbers = batch.column(0).to_pandas().to_numpy(), [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 4)]
+            new = np.ones(batch.num_rows, bool)
+            is_data = numbers[3] >= 0
+            new[1:] = (names[1:] != names[:-1]) | (numbers[0][1:] != numbers[0][:-1]) | (numbers[1][1:] != numbers[1][:-1]) | (is_data[1:] != is_data[:-1])
+            edges = np.append(np.flatnonzero(new), batch.num_rows)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                here = (names[a], numbers[0][a], numbers[1][a])
+                if here != key:
+                    yield from cell.build()
+                    cell, key = _Cell(keep, least), here
+                vec = batch.column(6).slice(a, b - a)
+                raw = vec.flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                visits = batch.column(5).slice(a, b - a)
+                if is_data[a]:
+                    cell.add(numbers[2][a:b], numbers[3][a:b], raw, visits)
+                else:
+                    yield from cell.build()
+                    yield from cell.search(numbers[2][a:b], raw, visits)
+        yield from cell.build()
 
     return run
 
@@ -322,7 +370,9 @@ def neighbours(df: DataFrame, spark: SparkSession, id_col: str = "vec_id", space
         return spark.createDataFrame([], "id bigint, other bigint, cosine double")
     shared = spark.sparkContext.broadcast(trees)
     routed = classes.select("id", "space", "vec").mapInArrow(_route(shared), "space string, cell int, block int, id bigint, leaf int, visits array<int>, vec array<float>")
-    between = routed.groupBy("space", "cell", "block").applyInArrow(_compare(k + 1, least), "rep bigint, other bigint, cosine double")
+    groups = sum(int(t.blocks[np.unique(t.cell, return_index=True)[1]].sum()) for t in trees.values())
+    cells = routed.repartition(4 * groups, "space", "cell", "block").sortWithinPartitions("space", "cell", "block", F.desc("leaf"))
+    between = cells.mapInArrow(_compare(k + 1, least), "rep bigint, other bigint, cosine double")
     # members of the classes: all ids with their class, and the few ids of each class that can be on a list
     ids = keyed.select("h1", "h2", "id")
     reps = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))

@@ -36,7 +36,7 @@ SPACES = {"w2v": 80, "bert": 96}
 K, LEAST = 5, 0.75
 SAMPLE, QUERIES_FOR_CALIBRATION = 24_000, 1_500
 BRANCH, LEAF, CELL, ROUNDS = 24, 384, 60_000, 8
-RECALL = 0.96
+RECALL = 0.98
 LEAST_VISITS = 4
 MOST_LEAVES = 600  # a tree with more leaves costs more in its queue than it saves in products
 SLACK = 1e-4  # float32 products are taken a little below the least similarity, then done again in float64

@@ -10,7 +10,7 @@ A piece starts ``overlap`` characters before the previous cut, or at the next wo
 the point lies inside a word; where there is no word start before the cut, exactly ``overlap`` characters before it.
 
 Defined results: null, empty and short texts give no pieces; a word that is
-longer than a piece is cut inside, at one of every GRID characters, before a base character where there is one; equal plans: the earlier cuts win; rows with
+longer than a piece is cut inside, at one of every GRID characters, before a base character where there is one; so is a run of blanks that is longer than a piece; equal plans: the earlier cuts win; rows with
 the same id are split each on its own; other columns are ignored.
 """
 
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 3000, 200
 GRID = 16
+MARKS = 64  # more combining marks than this on one character are cut anywhere
 #: Tiers from coarse to fine and the penalty of a cut there. Fixed values.
 PENALTY = {"speech": 0.0, "paragraph": 0.5, "line": 1.5, "sentence": 2.0, "word": 60.0, "character": 4000.0}
 #: Line ends and the marks that end a sentence or may close it. Fixed values.
@@ -72,14 +73,15 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _characters(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every GRID-th position inside the words that are too long for any plan that spares them."""
+    """Every GRID-th position inside the words, with the blanks behind them, that are too long for any plan that spares them."""
     blank = _blank()[_codes(text)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
-    at = [i for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a > limit - 2 * overlap for i in range(a + 1, b, GRID)]
+    edge = np.unique(np.concatenate([[0], np.flatnonzero(~blank[1:] & blank[:-1]) + 1, [len(blank)]]))
+    at = [i for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > limit - 2 * overlap for i in range(a + 1, b, GRID)]
     for k, i in enumerate(at):
-        while i > 1 and unicodedata.combining(text[i]):
-            i -= 1
-        at[k] = i
+        j = i
+        while j > 1 and i - j < MARKS and unicodedata.combining(text[j]):
+            j -= 1
+        at[k] = i if unicodedata.combining(text[j]) else j
     at = np.unique(np.array(at, np.int64))
     return at, np.full(len(at), 5, np.int64)
 
@@ -148,7 +150,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         if path is not None:
             begin = [0, *(int(starts[k]) for k in path)]
             return list(zip(begin, [*(int(cuts[k]) for k in path), n], strict=True))
-    step = limit - overlap  # combining marks only: nothing but plain cuts is left
+    step = limit - overlap  # pieces hardly longer than the overlap: nothing but plain cuts is left
     return [(a, min(n, a + limit)) for a in range(0, max(1, n - overlap), step)]
 
 

@@ -10,7 +10,7 @@ A piece starts ``overlap`` characters before the previous cut, or at the next wo
 the point lies inside a word; where there is no word start before the cut, exactly ``overlap`` characters before it.
 
 Defined results: null, empty and short texts give no pieces; a word that is
-longer than a piece is cut inside, at one of every GRID characters, before a base character where there is one; so is a run of blanks that is longer than a piece; equal plans: the earlier cuts win; rows with
+longer than a piece is cut inside, before a base character where there is one; so is a run of blanks that is longer than a piece; equal plans: the earlier cuts win; rows with
 the same id are split each on its own; other columns are ignored.
 """
 
@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 3000, 200
-GRID = 16
 MARKS = 64  # more combining marks than this on one character are cut anywhere
 #: Tiers from coarse to fine and the penalty of a cut there. Fixed values.
 PENALTY = {"speech": 0.0, "paragraph": 0.5, "line": 1.5, "sentence": 2.0, "word": 60.0, "character": 4000.0}
@@ -73,10 +72,10 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _characters(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every GRID-th position inside the words, with the blanks behind them, that are too long for any plan that spares them."""
+    """Every position inside the words, with the blanks behind them, that are too long for any plan that spares them."""
     blank = _blank()[_codes(text)]
     edge = np.unique(np.concatenate([[0], np.flatnonzero(~blank[1:] & blank[:-1]) + 1, [len(blank)]]))
-    at = [i for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > limit - 2 * overlap for i in range(a + 1, b, GRID)]
+    at = [i for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if b - a > limit - 2 * overlap for i in range(a + 1, b)]
     for k, i in enumerate(at):
         j = i
         while j > 1 and i - j < MARKS and unicodedata.combining(text[j]):
@@ -104,13 +103,13 @@ def _plan(length: int, cuts: np.ndarray, penalty: np.ndarray, starts: np.ndarray
     ends = np.append(cuts, length)
     pen = np.append(penalty, 0.0)
     begin = np.insert(starts, 0, 0)  # begin[j]: start of the piece behind cut j-1; 0 for the first piece
-    # (both ends and begin rise, so the predecessors of an end are a range)
+    # (both ends and begin rise, so the predecessors of an end are a range; the squared cost has monotone minima, so the best one never falls)
     cost = np.full(len(ends) + 1, np.inf)
     cost[0] = 0.0
     back = np.zeros(len(ends) + 1, np.int64)
     low = np.searchsorted(begin, ends - limit)
     for i in range(len(ends)):
-        lo, hi = low[i], i + 1
+        lo, hi = max(low[i], back[i]), i + 1
         if lo >= hi:
             continue
         size = ends[i] - begin[lo:hi]

@@ -16,3 +16,7 @@ def test_long_runs_stay_local(gap):
 def test_blank_run_at_the_end():
     text = "lantern market " * 700 + " " * 5000
     assert all(text[e - 1] == " " for _, e in split_text(text))
+
+
+def test_every_position_of_a_long_word():
+    assert split_text("x" * 5000) == [(0, 2600), (2400, 5000)]

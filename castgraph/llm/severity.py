@@ -140,9 +140,10 @@ def features(texts: list[str], kinds: dict[int, int]) -> tuple[np.ndarray, np.nd
         numbers.append(skip), where.append(where[-1])
     if kinds:
         listed = np.array(sorted(kinds), np.uint64)
-        k = np.minimum(np.searchsorted(listed, words), len(listed) - 1)
-        at = np.flatnonzero(listed[k] == words)
-        numbers.append(np.array([kinds[int(w)] for w in words[at].tolist()], np.uint64)), where.append(sentence[at])
+        for sequences, places in list(zip(numbers[:3], where[:3], strict=True)):  # terms of one, two and three words
+            k = np.minimum(np.searchsorted(listed, sequences), len(listed) - 1)
+            at = np.flatnonzero(listed[k] == sequences)
+            numbers.append(np.array([kinds[int(w)] for w in sequences[at].tolist()], np.uint64)), where.append(places[at])
     number, place = np.concatenate(numbers), np.concatenate(where)
     good = place >= 0
     return (number[good] >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), place[good], owner[first]
@@ -165,12 +166,18 @@ class Model:
 
 
 def term_kinds(terms: list[tuple[str | None, str | None]]) -> dict[int, int]:
+    """The kind's hash by the hash of the term's one to three words; longer terms are left out."""
     good = [(t, k) for t, k in terms if t and t.strip() and k]
     out = {}
     for text, kind in good:
         codes, starts, ends = plain([text])
-        if len(starts) == 1:
-            out[int(substring_hashes(codes, starts, ends)[0])] = int(mix(np.array([sum(map(ord, kind)) * 2654435761 + 99], np.uint64))[0])
+        if 1 <= len(starts) <= 3:
+            words = substring_hashes(codes, starts, ends)
+            with np.errstate(over="ignore"):
+                term = words[:1] if len(words) == 1 else mix(words[:1] * np.uint64(3) + mix(words[1:2]))
+                if len(words) == 3:
+                    term = mix(term * np.uint64(5) + mix(words[2:3]))
+            out[int(term[0])] = int(mix(np.array([sum(map(ord, kind)) * 2654435761 + 99], np.uint64))[0])
     return out
 
 
@@ -256,7 +263,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = MAX_LABELLED) -> Model:
-    kinds = term_kinds([(r[0], r[1]) for r in terms.select("term", "kind").dropna().distinct().limit(100_000).collect()])
+    kinds = term_kinds([(r[0], r[1]) for r in terms.select("term", "kind").dropna().distinct().collect()])
     chosen = graded(labels).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).drop("h")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade")).select("text", "grade").toArrow()  # at most ``most`` rows

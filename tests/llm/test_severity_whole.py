@@ -8,3 +8,12 @@ def test_fit_takes_12000_labelled_documents(spark, monkeypatch):
     terms = spark.createDataFrame([("x", "y")], "term string, kind string")
     assert severity.fit_model(docs, labels, terms) == 12_000
     assert severity.STEPS == 160
+
+
+def test_terms_of_several_words():
+    kinds = severity.term_kinds([("vile", "insult"), ("vile rat", "insult"), ("you vile rat", "threat")])
+    assert len(kinds) == 3
+    model = severity.fit([], [], kinds)
+    many = severity.fit([], [], severity.term_kinds([("bad green fog", "insult"), ("cold soup", "insult")]))
+    assert (many.scores(["a bad green fog", "some cold soup"]) > many.scores(["bad fog green", "cold. soup"])).all()
+    assert (model.scores(["vile"]) > model.scores(["calm"])).all()

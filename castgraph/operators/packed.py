@@ -3,8 +3,9 @@
 The dialect of a field (which delimiters, which quoting) is chosen by minimum description length.  Each distinct field is
 parsed under every dialect whose delimiter and quote occur in it; the length of a parse, in bits, is
 
-    dialect + delimiters + REPEAT per repeated value + ESCAPE per leftover mark + sum over its distinct values of the value's code
+    dialect + the characters outside its values + ESCAPE per leftover mark + sum of its values' codes
 
+A character outside the values costs one bit under a single delimiter, under a mixed dialect the log2 of the delimiters it may be.
 A leftover mark is a delimiter or quote at the edge of a value, or a reference mark inside it.  A value has the shorter of two
 codes: spelled out character by character, or its entry in the dictionary of all values of the table.  An entry used by n fields
 costs -log2 of its share of all uses, plus its spelling once, spread over the n: what occurs once is never cheaper as an entry.
@@ -48,8 +49,8 @@ QUOTES = "\"'"
 #: A cast id: a name without separators of the list kind, an underscore, the play's code.
 CAST_ID = r"^(?=[^\x{22}]*(?:\x{22}[^\x{22}]*\x{22}[^\x{22}]*)*$)[\p{L}\p{N}][^_#;|/&\x{b7}\x{ff0c}\x{ff1b}\x{3001}\r\n\t\[\]{}\\]*_[A-Z][a-z]{3}$"
 
-BASE, CHAR, REPEAT, ESCAPE = 2.0, 6.0, 4.0, 12.0
-NAME, MIXED, ANY_QUOTE, DOUBLE_QUOTE = 4.0, 6.0, 2.0, 1.0
+BASE, CHAR, ESCAPE = 2.0, 6.0, 32.0
+NAME, MIXED, ANY_QUOTE, DOUBLE_QUOTE = 4.0, 2.0, 2.0, 1.0
 BROADCAST = 2_000_000  # entries of a dictionary that is sent to all tasks: 32 MB
 CLASSES = {"line": "\r\n", **MARKS, "blank": BLANKS}
 BIT = {k: 1 << i for i, k in enumerate(CLASSES)}
@@ -58,7 +59,7 @@ MARK_BITS = sum(BIT[k] for k in MARKS)
 
 @dataclass(frozen=True)
 class Dialect:
-    """mask: its delimiters' bits; bits: length of the dialect's name; per: of each delimiter."""
+    """mask: its delimiters' bits; bits: length of the dialect's name; per: of each character outside the values."""
 
     mask: int
     quotes: str
@@ -85,7 +86,7 @@ def dialects() -> list[Dialect]:
     for mask in [*BIT.values(), BIT["line"] | MARK_BITS, BIT["blank"] | MARK_BITS]:
         single = mask & (mask - 1) == 0
         for quotes, more in (("", 0.0), ('"', DOUBLE_QUOTE), ("\"'", ANY_QUOTE)):
-            made.append(Dialect(mask, quotes, (NAME if single else NAME + MIXED) + more, 1.0 if single else 3.0))
+            made.append(Dialect(mask, quotes, (NAME if single else NAME + MIXED) + more, 1.0 if single else float(np.log2(sum(len(c) for k, c in CLASSES.items() if mask & BIT[k])))))
     return made
 
 
@@ -181,7 +182,7 @@ def _marks(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 def rivals(fields: list[str]) -> tuple[np.ndarray, ...]:
     """The different parses of each field, and the values of each parse.
 
-    Of parses: field, dialect, fixed bits, those that no dictionary changes.  Of each parse's distinct values: number of the parse, hash, spelled bits.
+    Of parses: field, dialect, fixed bits, those that no dictionary changes.  Of each parse's values: number of the parse, hash, spelled bits.
     """
     bare, listed = zip(*map(_bare, fields), strict=True) if fields else ((), ())
     codes, starts, ends = _joined(list(bare))
@@ -238,12 +239,9 @@ def rivals(fields: list[str]) -> tuple[np.ndarray, ...]:
     with np.errstate(over="ignore"):  # what a parse is: its values in their order
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value.view(np.uint64) + mix(place.astype(np.uint64) + np.uint64(1))))])
     stops = np.concatenate([[0], np.cumsum(n)])
-    sort = np.lexsort((value, v_parse))
-    new = np.ones(len(sort), bool)
-    new[1:] = (v_parse[sort][1:] != v_parse[sort][:-1]) | (value[sort][1:] != value[sort][:-1])
-    distinct = sort[new]
     bits, per = np.array([d.bits for d in DIALECTS]), np.array([d.per for d in DIALECTS])
-    fixed = bits[number] + np.maximum(n - 1, 0) * per[number] + (n - np.bincount(v_parse[distinct], minlength=len(key))) * REPEAT + np.bincount(v_parse, left, len(key)) * ESCAPE
+    outside = np.fromiter(map(len, fields), np.int64, len(fields))[owner] - np.bincount(v_parse, size, len(key))
+    fixed = bits[number] + np.maximum(outside, 0) * per[number] + np.bincount(v_parse, left, len(key)) * ESCAPE
     # of equal parses of a field the one in the shortest dialect stays
     with np.errstate(over="ignore"):
         parsed = sums[stops[1:]] - sums[stops[:-1]]
@@ -253,7 +251,7 @@ def rivals(fields: list[str]) -> tuple[np.ndarray, ...]:
     chosen = np.sort(order[keep])
     renumbered = np.full(len(key), -1, np.int64)
     renumbered[chosen] = np.arange(len(chosen))
-    v_parse, value, size = renumbered[v_parse[distinct]], value[distinct], size[distinct]
+    v_parse = renumbered[v_parse]
     stays = v_parse >= 0
     return owner[chosen], number[chosen], fixed[chosen], v_parse[stays], value[stays], BASE + CHAR * size[stays]
 
@@ -340,7 +338,7 @@ def split_packed(df: DataFrame, id_col: str, field: str, keep: tuple[str, ...] =
     base = checkpointed(fields.mapInArrow(_parse_batches, schema))  # read four times
     first = Dictionary(base.select(F.explode(F.array_distinct("value")).alias("value")))
     mine = F.filter(F.arrays_zip("at", "value"), lambda c: c["at"] == F.col("i"))
-    second = Dictionary(first.cheapest(base).select(F.explode(mine).alias("c")).select("c.value"))
+    second = Dictionary(first.cheapest(base).select(F.explode(F.array_distinct(F.transform(mine, lambda c: c["value"]))).alias("value")))
     won = second.cheapest(base).select("h1", "h2", "field", F.get("nr", F.col("i")).alias("nr")).mapInArrow(_values, "h1 bigint, h2 bigint, values array<string>")
     wanted = won.withColumn("values", F.filter("values", lambda v: F.rlike(v, F.lit(pattern)))).filter(F.size("values") > 0)
     named = [F.col("row.id").alias(id_col), *(F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep))]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castgraph.functions import checkpointed
+from castgraph.functions import checkpointed, mapped
 from castgraph.functions.hashing import mix, substring_hashes
 
 #: Characters with a role in packed fields. Fixed values.
@@ -311,7 +311,7 @@ class Dictionary:
                 best = order[start]  # sorted by field: the first of each (every field has the parse without delimiters)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((best - start).astype(np.int32))], names=[*batch.schema.names, "i"])
 
-        return base.mapInArrow(run, base.select("*", F.lit(0).alias("i")).schema)
+        return mapped(base, run, base.select("*", F.lit(0).alias("i")).schema)
 
     def _joined(self, base: DataFrame) -> DataFrame:
         codes = F.explode_outer(F.arrays_zip("at", "value", "spelled"))
@@ -335,11 +335,11 @@ def split_packed(df: DataFrame, id_col: str, field: str, keep: tuple[str, ...] =
     rows = rows.filter(F.btrim("field", F.lit(BLANKS)) != "")
     fields = rows.select("field").distinct().select(*keys, "field")
     schema = "h1 bigint, h2 bigint, field string, nr array<int>, fixed array<double>, at array<int>, value array<bigint>, spelled array<double>"
-    base = checkpointed(fields.mapInArrow(_parse_batches, schema))  # read four times
+    base = checkpointed(mapped(fields, _parse_batches, schema))  # read four times
     first = Dictionary(base.select(F.explode(F.array_distinct("value")).alias("value")))
     mine = F.filter(F.arrays_zip("at", "value"), lambda c: c["at"] == F.col("i"))
     second = Dictionary(first.cheapest(base).select(F.explode(F.array_distinct(F.transform(mine, lambda c: c["value"]))).alias("value")))
-    won = second.cheapest(base).select("h1", "h2", "field", F.get("nr", F.col("i")).alias("nr")).mapInArrow(_values, "h1 bigint, h2 bigint, values array<string>")
+    won = mapped(second.cheapest(base).select("h1", "h2", "field", F.get("nr", F.col("i")).alias("nr")), _values, "h1 bigint, h2 bigint, values array<string>")
     wanted = won.withColumn("values", F.filter("values", lambda v: F.rlike(v, F.lit(pattern)))).filter(F.size("values") > 0)
     named = [F.col("row.id").alias(id_col), *(F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep))]
     met = rows.select("row", *keys).join(wanted, ["h1", "h2"])

@@ -3,18 +3,21 @@
 Texts become sequences of words (lower case, NFKD, no combining marks or format characters, words cut at line ends joined);
 a word is its 64-bit hash.  A passage of an item is a window of ``window`` consecutive words, or the whole item if shorter.
 
+A window of n words permits ``max_edits`` edits, but at most n - 1, so that a match always keeps a word.
+
 Search.  Every window is embedded by the CGK random walk: a pointer walks over the window, step j emits the word
 under the pointer and moves on iff bit j of that word's (per-repeat) hash is set.  Two windows at a small word edit distance
 get embeddings at a small Hamming distance with good chance; equal windows always get equal ones.  Bit-sampling LSH takes SAMPLES
 positions of the embedding per repeat; windows of texts that share a sample with an item's window are candidates.
 ``repeats`` is chosen from ``max_edits`` for the target recall (measured in the tests).  Candidates are verified by the
-exact edit distance between the word sequences.
+exact edit distance between the word sequences, whatever the number of edits.  Walks from one word are shared by all window lengths.
 
 A window of a text can lie within ``max_edits`` of an item's window only if all but ``max_edits`` of its words occur in
 the items; the other windows are skipped before the walk, which loses nothing.
 
 Scale.  Documents never leave their task: no shuffle but the final distinct on (document, item).  The index over the items
-is broadcast in blocks of at most BLOCK_WORDS words, one pass per block, so its size is bounded whatever the items' number.
+is broadcast in blocks of at most INDEX_BYTES, one pass over the texts per block, so its size is bounded whatever the items' number or length
+(a longer item is cut into overlapping parts).
 
 Defined results: null and empty texts and items without words match nothing; a document is reported once per item however
 often it matches; equal items are each reported; repeated doc_ids are one document in the result; other columns are ignored.
@@ -33,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castgraph.functions import mapped
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
 WINDOW, STEPS, SEED = 10, 3, 7
 VERIFY = 1 << 16  # candidates compared at once
 CHUNK = 1 << 18  # characters worked on at once
-BLOCK_WORDS = 2_000_000
+INDEX_BYTES = 256 << 20
 #: Repeats of the embedding by permitted word edits; 1 suffices for equal windows, whose embeddings are equal.
 REPEATS = {0: 1, 1: 16, 2: 80}
 SAMPLES = {0: 6, 1: 5, 2: 5}
@@ -95,40 +99,54 @@ def signatures(windows: np.ndarray, repeat: int, samples: int, width: int) -> np
     return sig
 
 
-def edit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Word edit distance of each pair of rows."""
+def edit_distances(a: np.ndarray, b: np.ndarray, most: int | None = None) -> np.ndarray:
+    """Word edit distance of each pair of rows; above ``most`` some number above it, for only the diagonals within it are followed."""
     n, la = a.shape
     lb = b.shape[1]
-    row = np.broadcast_to(np.arange(lb + 1), (n, lb + 1)).copy()
-    for i in range(la):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        change = row[:, :-1] + (a[:, i : i + 1] != b)
-        for j in range(lb):
-            new[:, j + 1] = np.minimum(np.minimum(change[:, j], row[:, j + 1] + 1), new[:, j] + 1)
+    most = max(la, lb) if most is None else most
+    far = np.int64(1 << 30)
+    if abs(la - lb) > most:
+        return np.full(n, far)
+    # row[d]: distance between the first i words of a and the first i + d - most of b
+    shift = np.arange(-most, most + 1)
+    row = np.broadcast_to(np.where((shift >= 0) & (shift <= lb), shift, far), (n, len(shift))).copy()
+    for i in range(1, la + 1):
+        new = np.full((n, len(shift)), far)
+        for d in range(len(shift)):
+            j = i + d - most
+            if not 0 <= j <= lb:
+                continue
+            best = row[:, d] + (a[:, i - 1] != b[:, j - 1]) if j else np.full(n, i)
+            if d + 1 < len(shift):
+                best = np.minimum(best, row[:, d + 1] + 1)
+            if d and j:
+                best = np.minimum(best, new[:, d - 1] + 1)
+            new[:, d] = best
         row = new
-    return row[:, -1]
+    return row[:, lb - la + most]
 
 
 def within_one(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The word edit distance where it is 0 or 1, else 2: what is alike in front and behind covers all but one word."""
-    n = min(a.shape[1], b.shape[1])
-    most = max(a.shape[1], b.shape[1])
-    false = np.zeros((len(a), 1), bool)
-    front = np.concatenate([a[:, :n] == b[:, :n], false], 1).argmin(1)
-    behind = np.concatenate([a[:, ::-1][:, :n] == b[:, ::-1][:, :n], false], 1).argmin(1)
-    return np.where((front == n) & (most == n), 0, np.where(front + behind >= most - 1, 1, 2))
+    """The word edit distance where it is 0 or 1, else 2."""
+    return np.minimum(edit_distances(a, b, 1), 2)
 
 
 class Index:
     """Windows of the items by length, and their signatures of each repeat, sorted."""
 
     def __init__(self, item_ids: list[int], texts: list[str], window: int, max_edits: int):
-        self.window, self.max_edits = window, max_edits
-        self.repeats, self.samples = REPEATS.get(max_edits, 40 * max_edits), SAMPLES.get(max_edits, 2)
         words, owner = words_of(texts) if texts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self._build(np.array(item_ids, np.int64), words, np.bincount(owner, minlength=len(texts)), window, max_edits)
+
+    @classmethod
+    def of_words(cls, item_ids: list[int], words: list[np.ndarray], window: int, max_edits: int) -> Index:
+        out = cls.__new__(cls)
+        out._build(np.array(item_ids, np.int64), np.concatenate([np.zeros(0, np.uint64), *words]), np.array([len(w) for w in words], np.int64), window, max_edits)
+        return out
+
+    def _build(self, items: np.ndarray, words: np.ndarray, counts: np.ndarray, window: int, max_edits: int) -> None:
+        self.window, self.max_edits, self.repeats = window, max_edits, repeats_for(max_edits)
         self.vocabulary = np.unique(words)
-        counts = np.bincount(owner, minlength=len(texts))
         begins = np.cumsum(counts) - counts
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for length in sorted(set(np.minimum(counts[counts > 0], window).tolist())):
@@ -136,13 +154,15 @@ class Index:
             n = counts[mine] - length + 1
             at = np.repeat(begins[mine], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             windows = words[at[:, None] + np.arange(length)]
-            items = np.array(item_ids, np.int64)[np.repeat(mine, n)]
             tables = []
             for r in range(self.repeats):
-                sig = signatures(windows, r, self.samples, STEPS * length)
-                order = np.argsort(sig, kind="stable")
+                sig = signatures(windows, r, self.samples(length), STEPS * length)
+                order = np.argsort(sig, kind="stable").astype(np.int32)
                 tables.append((sig[order], order))
-            self.by_length[length] = (windows, items, tables)
+            self.by_length[length] = (windows, items[np.repeat(mine, n)], tables)
+
+    def samples(self, length: int) -> int:
+        return max(1, min(SAMPLES.get(self.max_edits, 2), length // 2))
 
     def matches(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """(text, item, word position, edits) of every verified window."""
@@ -152,37 +172,69 @@ class Index:
         k = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         strange = np.concatenate([[0], np.cumsum(self.vocabulary[k] != words)])
         for length, (windows, items, tables) in self.by_length.items():
-            edits = min(self.max_edits, length // 4)
+            edits = min(self.max_edits, length - 1)
             # with edits a passage may be shorter or longer than the item's window
-            for own in range(length - edits, length + edits + 1):
-                if len(words) < own:
-                    continue
+            sizes = [own for own in range(length - edits, length + edits + 1) if own <= len(words)]
+            usable = np.zeros((len(sizes), len(words)), bool)
+            for u, own in zip(usable, sizes, strict=True):
                 begin = np.arange(len(words) - own + 1)
-                begin = begin[(strange[begin + own] - strange[begin] <= edits) & (owner[begin] == owner[begin + own - 1])]
-                if not len(begin):
-                    continue
-                mine = words[begin[:, None] + np.arange(own)]
-                met = []
-                for r, (sig, order) in enumerate(tables[: 1 if edits == 0 else None]):
-                    s = signatures(mine, r, self.samples, STEPS * length)
-                    lo, hi = np.searchsorted(sig, s, "left"), np.searchsorted(sig, s, "right")
+                u[begin] = (strange[begin + own] - strange[begin] <= edits) & (owner[begin] == owner[begin + own - 1])
+            begin = np.flatnonzero(usable.any(0))
+            if not len(begin):
+                continue
+            usable = usable[:, begin]
+            met = [[] for _ in sizes]
+            for r, (sig, order) in enumerate(tables):
+                for s, use, own, out in zip(_shared_signatures(words, begin, sizes, r, self.samples(length), STEPS * length), usable, sizes, met, strict=True):
+                    mine = np.flatnonzero(use)
+                    lo, hi = np.searchsorted(sig, s[mine], "left"), np.searchsorted(sig, s[mine], "right")
                     n = hi - lo
-                    left = np.repeat(np.arange(len(s)), n)
-                    right = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    if edits == 1:  # one edit leaves the first or the last word as it is
-                        near = (mine[left, 0] == windows[right, 0]) | (mine[left, -1] == windows[right, -1])
+                    left = np.repeat(mine, n)
+                    right = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
+                    if edits == 1 and own > 1:  # one edit leaves the first or the last word as it is
+                        near = (words[begin[left]] == windows[right, 0]) | (words[begin[left] + own - 1] == windows[right, -1])
                         left, right = left[near], right[near]
-                    met.append(left * len(windows) + right)
-                left, right = np.divmod(np.unique(np.concatenate(met)), len(windows))  # each candidate is verified once
+                    out.append(left * len(windows) + right)
+            for own, candidates in zip(sizes, met, strict=True):
+                left, right = np.divmod(np.unique(np.concatenate(candidates)), len(windows))  # each candidate is verified once
                 for k in range(0, len(left), VERIFY):
-                    a, b = left[k : k + VERIFY], right[k : k + VERIFY]
-                    distance = (mine[a] != windows[b]).sum(1) if edits == 0 else within_one(mine[a], windows[b]) if edits == 1 else edit_distances(mine[a], windows[b])
+                    a, b = begin[left[k : k + VERIFY]], right[k : k + VERIFY]
+                    distance = edit_distances(words[a[:, None] + np.arange(own)], windows[b], edits)
                     good = distance <= edits
                     a, b = a[good], b[good]
-                    found.append(np.stack([owner[begin[a]], items[b], begin[a], distance[good]], 1).astype(np.int64))
+                    found.append(np.stack([owner[a], items[b], a, distance[good]], 1).astype(np.int64))
         return np.concatenate(found)
 
 
+def repeats_for(max_edits: int) -> int:
+    return REPEATS.get(max_edits, 40 * max_edits)
+
+
+def _shared_signatures(words: np.ndarray, begin: np.ndarray, sizes: list[int], repeat: int, samples: int, width: int) -> list[np.ndarray]:
+    """``signatures`` of the windows of each size that begin at the given words: the walk from a word is the same for all sizes until it leaves the window."""
+    pick = np.random.default_rng([SEED, repeat, width]).choice(width, min(samples, width), replace=False)
+    with np.errstate(over="ignore"):
+        turns = mix(words * np.uint64(2 * (SEED + repeat) + 1) + np.uint64(repeat))
+        at, end, seen = begin.copy(), len(words) - 1, {}
+        for j in range(int(pick.max()) + 1):
+            if j in pick:
+                seen[j] = at.copy()
+            at = np.minimum(at + ((turns[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64), end + 1)
+            if j < int(pick.max()):
+                over = at > end
+                if over.any():  # beyond the last word: no window of any size holds it
+                    turns, words, end = np.append(turns, np.uint64(0)), np.append(words, _PAD), end + 1
+        out = []
+        for own in sizes:
+            sig = np.full(len(begin), 1, np.uint64)
+            for j in pick:
+                place = seen[j]
+                inside = place - begin < own
+                sig = mix(sig * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, words[np.minimum(place, end)], _PAD))
+            out.append(sig)
+        return out
+
+
 def _search(index) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,26 +267,30 @@ def _search(index) -> callable:
     return run
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[str]]]:
-    """Items in blocks of bounded size, streamed to the driver."""
-    ids, texts, held = [], [], 0
+def _blocks(items: DataFrame, id_col: str, text_col: str, window: int, max_edits: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Items as words, in blocks whose index has at most INDEX_BYTES, streamed to the driver."""
+    most = INDEX_BYTES // (8 * (window + 2) + 12 * repeats_for(max_edits))  # of a window of each word
+    ids, words, held = [], [], 0
     for row in items.select(id_col, text_col).dropna().orderBy(id_col).toLocalIterator():
-        ids.append(row[0]), texts.append(row[1])
-        held += len(row[1]) // 4
-        if held >= BLOCK_WORDS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids or not held:
-        yield ids, texts
+        rest = words_of([row[1]])[0]
+        while len(rest):
+            part = rest[:most]
+            rest = rest[len(part) - window + 1 :] if len(rest) > len(part) else rest[:0]
+            if held + len(part) > most and held:
+                yield ids, words
+                ids, words, held = [], [], 0
+            ids.append(row[0]), words.append(part)
+            held += len(part)
+    yield ids, words
 
 
 def leaked(docs: DataFrame, items: DataFrame, spark: SparkSession, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_edits: int = 0) -> DataFrame:
     """(doc_id, item_id, n_windows, edits): documents that hold a passage of an item, with the number of matching windows and the fewest edits."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text"))
     passes = []
-    for ids, item_texts in _blocks(items, item_id, item_text):
-        index = spark.sparkContext.broadcast(Index(ids, item_texts, window, max_edits))
-        passes.append(texts.mapInArrow(_search(index), "doc_id bigint, item_id bigint, n_windows bigint, edits bigint"))
+    for ids, words in _blocks(items, item_id, item_text, window, max_edits):
+        index = spark.sparkContext.broadcast(Index.of_words(ids, words, window, max_edits))
+        passes.append(mapped(texts, _search(index), "doc_id bigint, item_id bigint, n_windows bigint, edits bigint"))
     return reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min("edits").alias("edits"))
 
 
@@ -245,7 +301,8 @@ def _tables(spark, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p7_found(spark, d: str) -> DataFrame:
-    return leaked(*_tables(spark, d), spark).select("doc_id", "item_id")
+    """The passages of p7_near that need no edit."""
+    return p7_near(spark, d).filter("edits = 0").select("doc_id", "item_id")
 
 
 def p7_near(spark, d: str) -> DataFrame:
@@ -255,7 +312,7 @@ def p7_near(spark, d: str) -> DataFrame:
 
 def p7_items(spark, d: str) -> DataFrame:
     """Which items leaked, and into how many documents."""
-    return leaked(*_tables(spark, d), spark).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 QUERIES = {"p7_found": p7_found, "p7_near": p7_near, "p7_items": p7_items}

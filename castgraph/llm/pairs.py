@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from castgraph.functions import checkpointed
+from castgraph.functions import checkpointed, mapped
 
 MAX_ITERATIONS, TOLERANCE = 2000, 1e-10
 BLOCK = 1000  # items of a basket unrolled against as many
@@ -240,7 +240,7 @@ def pair_surprise(df: DataFrame, group: str, basket: str, item: str) -> DataFram
     both = histogram(degrees, "degrees").join(histogram(sizes, "sizes"), "g")
     totals = both.select("g", F.col("n_degrees").alias("k"), F.col("n_sizes").alias("n"))
     fitted_lists = "array<struct<v:bigint,n:bigint,fitness:double>>"
-    fitted = checkpointed(both.select("g", "degrees", "sizes").repartition(tasks, "g").mapInArrow(_fit, f"g string, degrees {fitted_lists}, sizes {fitted_lists}"))
+    fitted = checkpointed(mapped(both.select("g", "degrees", "sizes").repartition(tasks, "g"), _fit, f"g string, degrees {fitted_lists}, sizes {fitted_lists}"))
     side = lambda s: items.select("g", F.col("item").alias("ab"[s - 1]), F.col("c").alias(f"c{s}"))
     met = checkpointed(pairs.join(side(1), ["g", "a"]).join(side(2), ["g", "b"]).join(totals, "g").select("g", "a", "b", "c12", "c1", "c2", "n", "k"))  # read for the triples and for the result
     triples = met.groupBy("g", F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2"), "c12", "k").agg(F.count(F.lit(1)).alias("pairs"))
@@ -248,7 +248,7 @@ def pair_surprise(df: DataFrame, group: str, basket: str, item: str) -> DataFram
     number = F.pmod(F.xxhash64("c1", "c2", "c12"), F.ceil(F.col("k") * F.col("k") / (2 * CHUNK)))
     chunks = triples.groupBy("g", number.alias("chunk")).agg(F.collect_list(F.struct("c1", "c2", "c12", "pairs")).alias("triples"))
     schema = "g string, c1 bigint, c2 bigint, c12 bigint, pairs bigint, expected double, p_value double"
-    tails = checkpointed(chunks.join(fitted, "g").select("g", "triples", "degrees", "sizes").repartition(tasks).mapInArrow(_tails, schema))
+    tails = checkpointed(mapped(chunks.join(fitted, "g").select("g", "triples", "degrees", "sizes").repartition(tasks), _tails, schema))
     known = tails.join(_q_values(tails, totals, tasks), ["g", "p_value"]).drop("pairs").withColumnsRenamed({"c1": "low", "c2": "high"})
     out = met.withColumns({"low": F.least("c1", "c2"), "high": F.greatest("c1", "c2")}).join(known, ["g", "low", "high", "c12"])
     return out.select("g", "a", "b", "c12", "c1", "c2", "n", (F.col("n") * F.col("c12") / (F.col("c1") * F.col("c2"))).alias("lift"), "expected", "p_value", "q_value")

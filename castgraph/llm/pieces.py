@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castgraph.functions import mapped
+
 LIMIT, OVERLAP = 3000, 200
 MARKS = 64  # more combining marks than this on one character are cut anywhere
 #: Tiers from coarse to fine and the penalty of a cut there. Fixed values.
@@ -165,7 +167,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit:
                     ids.append(doc), no.append(k), a.append(s), b.append(e), out.append(text[s:e])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "piece_no", "start_char", "end_char", "text"])
 
-    return long.mapInArrow(run, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, text string")
+    return mapped(long, run, "doc_id bigint, piece_no int, start_char bigint, end_char bigint, text string")
 
 
 def p2_pieces(spark, d: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from castgraph.functions import mapped
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
 FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 12_000, 160, 0.08, 6e-4
@@ -294,7 +295,7 @@ def score(docs: DataFrame, model: Model, spark: SparkSession, keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*(f.name for f in fields), "severity"])
 
     schema = docs.select("doc_id", *keep).schema.add("severity", "double")
-    return docs.select("doc_id", *keep, "text").mapInArrow(run, schema)
+    return mapped(docs.select("doc_id", *keep, "text"), run, schema)
 
 
 def _scored(spark, d: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ alternatives are decided by class changes, one look ahead and the contractions).
 two tiers:
 
 1. a minimal perfect hash over the vocabulary: bucket and displacement, all pre-tokens of a chunk in a few array
-   operations; a slot's two 64-bit fingerprints and its length must agree;
+   operations; a slot's bytes are then compared with the pre-token's;
 2. for the rest, the merges: a heap of mergeable neighbours over linked bytes, lowest rank first, leftmost on ties.  A
    bounded memo in each worker keeps results of repeated pre-tokens.
 
@@ -27,9 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castgraph.functions import mapped
 from castgraph.llm.wordhash import LETTER, OTHER, SPACE, substring_hashes, token_classes
 
 TOKENIZERS = os.environ.get("CASTGRAPH_TOKENIZERS", "/opt/tokenizers")
@@ -110,9 +112,10 @@ class PerfectHash:
                 break
         for key, slot in zip(alone, np.flatnonzero(~taken), strict=False):  # a lone key goes straight to a free slot
             slots[key], self.shift[bucket[key]] = slot, -slot - 1
-        self.a, self.b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
         self.length, self.value = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        self.a[slots], self.b[slots], self.length[slots], self.value[slots] = a, b, ends - starts, values
+        self.head, self.tail, self.key = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, object)
+        self.length[slots], self.value[slots], self.key[slots] = ends - starts, values, keys
+        self.head[slots], self.tail[slots] = _ends_of(flat, starts, ends)
 
     def _bucket(self, a: np.ndarray) -> np.ndarray:
         return ((a >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
@@ -121,14 +124,28 @@ class PerfectHash:
         with np.errstate(over="ignore"):
             return (((b >> np.uint64(7)) + shift * ((a & np.uint64(0xFFFFFFFF)) | np.uint64(1))) % np.uint64(self.n)).astype(np.int64)
 
-    def lookup(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The value of each key, -1 if there is none."""
+    def lookup(self, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The value of each key flat[start:end], -1 if there is none."""
+        a, b = (substring_hashes(flat, starts, ends, k) for k in (0, 1))
         shift = self.shift[self._bucket(a)]
         slot = np.where(shift < 0, -shift - 1, self._slot(a, b, shift.astype(np.uint64)))
-        hit = (self.a[slot] == a) & (self.b[slot] == b) & (self.length[slot] == length)
+        head, tail = _ends_of(flat, starts, ends)
+        hit = (self.length[slot] == ends - starts) & (self.head[slot] == head) & (self.tail[slot] == tail)
+        for k in np.flatnonzero(hit & (ends - starts > 16)).tolist():  # the first and last eight bytes are the whole of shorter keys
+            hit[k] = flat[starts[k] : ends[k]].tobytes() == self.key[slot[k]]
         return np.where(hit, self.value[slot], -1)
 
 
+def _ends_of(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last eight bytes of each substring, as numbers; shorter ones filled up with zeros."""
+    padded = np.concatenate([np.zeros(8, np.uint8), flat, np.zeros(8, np.uint8)]).tobytes()
+    eight = np.ndarray((len(flat) + 9,), "<u8", padded, 0, (1,))
+    short = (8 * np.minimum(ends - starts, 8)).astype(np.uint64)
+    mask = np.where(short == 64, ~np.uint64(0), (np.uint64(1) << (short % np.uint64(64))) - np.uint64(1))
+    head = eight[starts + 8] & mask
+    return head, np.where(ends - starts > 8, eight[ends], head)
+
+
 @lru_cache(2)
 def load_vocabulary(path: str) -> tuple[dict[bytes, int], PerfectHash]:
     with open(path, "rb") as f:
@@ -201,13 +218,13 @@ class Encoder:
             starts, total = place[at], int(place[-1])
         ends = np.append(starts[1:], total)
         flat = np.frombuffer(raw, np.uint8)
-        a, b = (substring_hashes(flat, starts, ends, k) for k in (0, 1))
-        ids = self.perfect.lookup(a, b, ends - starts)
+        ids = self.perfect.lookup(flat, starts, ends)
         counts = np.ones(len(ids), np.int64)
         missed = np.flatnonzero(ids < 0)
         if len(missed):
-            _, one, which = np.unique(a[missed], return_index=True, return_inverse=True)
-            merged = [self._merged(raw[starts[k] : ends[k]]) for k in missed[one].tolist()]
+            place: dict[bytes, int] = {}  # told apart by their bytes
+            which = np.fromiter((place.setdefault(raw[i:j], len(place)) for i, j in zip(starts[missed].tolist(), ends[missed].tolist(), strict=True)), np.int64, len(missed))
+            merged = [self._merged(word) for word in place]
             sizes = np.fromiter(map(len, merged), np.int64, len(merged))
             begins = np.cumsum(sizes) - sizes
             every = np.fromiter((x for m in merged for x in m), np.int64, int(sizes.sum()))
@@ -231,7 +248,8 @@ class Encoder:
         return got
 
     def encode_column(self, texts: pa.Array) -> pa.ListArray:
-        ids, sizes = [], []
+        """The ids of each text; all ids of the texts must number less than 2**31, as they do for less than 2**29 characters."""
+        ids = []
         waiting: list[str] = []
         owners: list[int] = []
         held = 0
@@ -255,8 +273,22 @@ class Encoder:
                     waiting, owners, held = [], [], 0
         if waiting:
             flush()
-        sizes = np.concatenate([[0], np.cumsum(total)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        offsets = np.concatenate([[0], np.cumsum(total)])
+        if offsets[-1] >= 1 << 31:
+            raise ValueError("too many ids for one list column; encode fewer texts at once")
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+
+
+def _bounded(texts: pa.Array, most: int = 1 << 29) -> list[tuple[int, int]]:
+    """Runs of texts of less than ``most`` bytes together, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    out, begin, held = [], 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held and held + n >= most:
+            out.append((begin, k))
+            begin, held = k, 0
+        held += n
+    return [*out, (begin, len(sizes))]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # of this worker, by the vocabulary's path
@@ -273,9 +305,10 @@ def encode_corpus(df: DataFrame, spark: SparkSession, id_col: str = "doc_id", te
             _ENCODERS.clear()
             encoder = _ENCODERS[path] = Encoder(*shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), encoder.encode_column(batch.column(1))], names=["doc_id", "ids"])
+            for a, b in _bounded(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], encoder.encode_column(batch.column(1)[a:b])], names=["doc_id", "ids"])
 
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
+    return mapped(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, ids array<int>")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,4 @@
-"""Vectorised text primitives: character classes, and 64-bit hashes of many substrings at once.
-
-A substring's hash is a polynomial with random letters modulo 2**64, read off prefix sums: the odd base has an inverse,
-so the hash doesn't depend on the place. Two bases give 128 bits.
-"""
+"""Vectorised text primitives: character classes, and 64-bit hashes of many substrings at once."""
 
 from __future__ import annotations
 
@@ -11,10 +7,13 @@ from functools import lru_cache
 
 import numpy as np
 
+from castgraph.functions.hashing import mix, substring_hashes
+
+__all__ = ["mix", "substring_hashes", "token_classes", "word_classes"]
+
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: The White_Space property of Unicode. Fixed values.
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 @lru_cache(1)
@@ -38,28 +37,3 @@ def word_classes() -> np.ndarray:
     out = np.array([chr(i).isalnum() for i in range(0x110000)], bool).astype(np.uint8)
     out[np.isin(_categories(), ["Mn", "Cf"])] = 2
     return out
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@lru_cache(4)
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = BASES[k]
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    one = np.ones(1, np.uint64)
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([one, np.cumprod(np.full(n, b, np.uint64))]) for b in (base, inverse))
-
-
-def substring_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
-    """Hash of codes[s:e] for each pair; codes are bytes or code points."""
-    n = 1 << max(10, int(len(codes) - 1).bit_length()) if len(codes) else 1024
-    power, inverse = _powers(k, n)
-    with np.errstate(over="ignore"):
-        letters = mix(codes.astype(np.uint64) + np.uint64(0x1234567 * (k + 1))) * power[: len(codes)]
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters)])
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts])

@@ -1,21 +1,23 @@
 """The k most similar vectors of every vector, by a hierarchical k-means tree.
 
-Fit.  A bounded sample of each space (SAMPLE vectors, those with the smallest hash of their id) gives a tree: k-means
-with BRANCH children on unit vectors, split again until a node stands for about LEAF vectors of the whole collection.
-Trees are broadcast; their size is bounded by the sample's.  The number of leaf visits is calibrated on the sample: queries
-held out of nothing but compared with a brute-force answer over the whole sample; visits widen from LEAST_VISITS until RECALL of the
-true neighbours (within k, at the least similarity) is reached.
+Fit.  A sample of each space's different vectors gives a tree: k-means with BRANCH children on unit vectors, split again until a node stands for
+about LEAF vectors of the whole collection.  The sample grows with the collection, from SAMPLE to MOST_SAMPLE vectors, so leaves keep their size up to
+about 30 million vectors a space and grow beyond.  Vectors are sampled by a threshold on the hash of their values.
+Trees are broadcast; their size is bounded by the sample's.  The number of leaf visits is calibrated on the sample: visits widen from LEAST_VISITS
+until RECALL of the true neighbours (by brute force over the sample, within k, at the least similarity) is reached.
 
 Search.  Every vector descends the tree best bin first: a priority queue of nodes, best similarity to the centre on top; a
 popped inner node pushes its children, a popped leaf is a visit.  Queues of a batch of queries advance together as
-arrays.  Leaves are grouped into cells, neighbouring leaves of the tree; a vector is shuffled once to its own cell as data, and once to
+arrays.  A pair that either vector finds counts for both lists, which halves the visits.  Leaves are grouped into cells, neighbouring leaves of the tree;
+a vector is shuffled once to its own cell as data, and once to
 each further cell that holds one of its visited leaves, as a query.  A cell compares its queries with the data of the visited
 leaves by matrix products, and returns the best k of each. Cells are read as a sorted stream, data first, so a task holds one cell's data and one batch of
 queries, however many queries come.
 
 Skew.  Exact copies of a vector (any number, even a third of all rows) are searched once: a class is its values,
 represented by its smallest id; only its k + 1 smallest ids can ever be on a list, for equal cosines go to the smaller id.
-A cell that the sample shows to be large is cut into blocks of its data by hash of the id; its queries go to all blocks.  So no
+A cell that the sample shows to be large is cut into blocks of its data by hash of the id, and its queries go to all blocks; a cell that is visited by
+many queries gets several copies of its data, and each query goes to one.  So no
 task grows with a hot group, and no row is dropped.
 
 Defined results: null vectors, wrong sizes, NaN or infinite numbers and zero vectors take no part; the space is compared without
@@ -32,15 +34,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from castgraph.functions import mapped
+
 SPACES = {"w2v": 80, "bert": 96}
 K, LEAST = 5, 0.75
-SAMPLE, QUERIES_FOR_CALIBRATION = 24_000, 1_500
-BRANCH, LEAF, CELL, ROUNDS = 24, 384, 60_000, 8
+SAMPLE, MOST_SAMPLE, SHARE, QUERIES_FOR_CALIBRATION = 24_000, 240_000, 25, 1_500
+BRANCH, LEAF, ROUNDS = 24, 384, 8
+LEAST_CELL, CELL, CELLS = 20_000, 240_000, 3  # vectors of a cell: a third of the collection within these bounds
+MOST_QUERIES = 250_000  # of a cell's copy
 RECALL = 0.98
 LEAST_VISITS = 4
-MOST_LEAVES = 600  # a tree with more leaves costs more in its queue than it saves in products
 SLACK = 1e-4  # float32 products are taken a little below the least similarity, then done again in float64
 BATCH = 2048
+HELD = 1 << 21  # pairs kept before all but the best of each are dropped
+MEMBERS = 20_000  # copies of a vector whose lists one task writes
 
 
 # -- the tree ----------------------------------------------------------------------------------------------------
@@ -63,13 +70,14 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """children: rows of node numbers, -1 beyond the last; leaf: a node's leaf number or -1; cell and blocks: of each leaf."""
+    """children: rows of node numbers, -1 beyond the last; leaf: a node's leaf number or -1; cell: of each leaf; blocks and salts: of each cell."""
 
     centres: np.ndarray
     children: np.ndarray
     leaf: np.ndarray
     cell: np.ndarray
     blocks: np.ndarray
+    salts: np.ndarray
     visits: int
 
     @staticmethod
@@ -77,12 +85,12 @@ class Tree:
         """x: the sample's unit vectors; total: size of the collection."""
         centres, children, leaf, sizes = [x.mean(0)], [[]], [-1], []
         scale = total / max(1, len(x))
-        size = max(LEAF, total / MOST_LEAVES)
+        most = min(CELL, max(LEAST_CELL, total / CELLS))
 
         def grow(node: int, rows: np.ndarray) -> None:
             expected = len(rows) * scale
-            if expected > size and len(rows) >= 4:
-                k = int(min(BRANCH, max(2, np.ceil(expected / size)), len(rows) // 2))
+            if expected > LEAF and len(rows) >= 4:
+                k = int(min(BRANCH, max(2, np.ceil(expected / LEAF)), len(rows) // 2))
                 label = _kmeans(x[rows], k, node)
                 if len(np.unique(label)) > 1:
                     for c in np.unique(label):
@@ -105,13 +113,12 @@ class Tree:
         # leaves are numbered along the tree, so a run of numbers is a neighbourhood
         cell, held, number = [], 0.0, 0
         for s in sizes:
-            if held and held + s > CELL:
+            if held and held + s > most:
                 number, held = number + 1, 0.0
             cell.append(number)
             held += s
-        per_cell = np.bincount(cell, sizes)
-        blocks = np.maximum(1, np.ceil(per_cell / (2 * CELL))).astype(np.int64)[np.array(cell)]
-        return Tree(np.array(centres, np.float32), table, np.array(leaf), np.array(cell), blocks, len(sizes))
+        blocks = np.maximum(1, np.ceil(np.bincount(cell, sizes) / (2 * CELL))).astype(np.int64)
+        return Tree(np.array(centres, np.float32), table, np.array(leaf), np.array(cell), blocks, np.ones_like(blocks), len(sizes))
 
     def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
         """The leaves each row visits, best bin first; -1 where there are no more."""
@@ -151,36 +158,52 @@ class Tree:
             live = live[got[live] < visits]
         return out
 
-    def calibrate(self, x: np.ndarray, k: int, least: float) -> None:
-        """Sets visits to the fewest that reach RECALL on the sample."""
-        home = self.visit(x, 1)[:, 0]
+    def calibrate(self, x: np.ndarray, k: int, least: float, total: int | None = None, both: bool = False) -> None:
+        """Sets visits to the fewest that reach RECALL of the sample's neighbours, and salts by the visits of each cell; both: a pair found by either of its vectors is found."""
         at = np.linspace(0, len(x) - 1, min(len(x), QUERIES_FOR_CALIBRATION)).astype(np.int64)
-        wanted = []
-        for part in np.array_split(at, max(1, len(at) // 256)):
+        left, right = [], []
+        for part in np.array_split(at, max(1, len(at) // 64)):
             s = x[part] @ x.T
             s[np.arange(len(part)), part] = -2
             best = np.argpartition(-s, min(k, s.shape[1] - 1), axis=1)[:, :k]
-            wanted.append(np.where(np.take_along_axis(s, best, 1) >= least, home[best], -1))
-        wanted = np.concatenate(wanted)
-        leaves, tried = int(self.leaf.max()) + 1, 32
+            q, j = np.nonzero(np.take_along_axis(s, best, 1) >= least)
+            left.append(part[q]), right.append(best[q, j])
+        left, right = np.concatenate(left), np.concatenate(right)
+        mine, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+        home = self.visit(x[mine], 1)[:, 0]
+        a, b = place[: len(left)], place[len(left) :]
+        leaves, tried = len(self.cell), 32
         while True:
-            seen = self.visit(x[at], min(leaves, tried))
-            hit = (wanted[:, :, None] == seen[:, None, :]) & (wanted >= 0)[:, :, None]
-            reached = np.cumsum(hit.sum((0, 1)))  # each neighbour is in one leaf
-            enough = np.flatnonzero(reached >= RECALL * (wanted >= 0).sum())
+            seen = self.visit(x[mine], min(leaves, tried))
+            reached = []  # the visit at which a pair is found, from either side
+            for k in range(0, len(left), 4096):
+                i, j = a[k : k + 4096], b[k : k + 4096]
+                hits = (seen[i] == home[j][:, None]) | (both & (seen[j] == home[i][:, None]))
+                reached.append(np.where(hits.any(1), hits.argmax(1), leaves))
+            reached = np.concatenate([np.zeros(0, np.int64), *reached])
+            enough = np.flatnonzero(np.cumsum(np.bincount(reached, minlength=leaves + 1))[:leaves] >= RECALL * len(left))
             if len(enough) or tried >= leaves:
                 break
             tried *= 2
         visits = int(enough[0]) + 1 if len(enough) else leaves
         self.visits = min(leaves, max(LEAST_VISITS, visits))
+        some = x[np.linspace(0, len(x) - 1, min(len(x), 2 * QUERIES_FOR_CALIBRATION)).astype(np.int64)]
+        cells = self.cells(self.visit(some, self.visits))
+        queries = np.bincount(cells[cells >= 0], minlength=len(self.blocks)) * ((total or len(x)) / len(some))
+        self.salts = np.maximum(1, np.ceil(queries / MOST_QUERIES)).astype(np.int64)
+
+    def cells(self, leaves: np.ndarray) -> np.ndarray:
+        """The different cells of each row's leaves; -1 elsewhere."""
+        cells = np.sort(np.where(leaves >= 0, self.cell[leaves], -1), axis=1)
+        cells[:, 1:][cells[:, 1:] == cells[:, :-1]] = -1
+        return cells
 
 
 # -- stages ------------------------------------------------------------------------------------------------------
 
 
 def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -202,6 +225,12 @@ def valid_vectors(df: DataFrame, id_col: str, space_col: str, vec_col: str, spac
     return named.filter(F.col("id").isNotNull() & right & finite & F.exists("vec", lambda v: v != 0))
 
 
+def _repeated(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's index n times, and 0 to n - 1 beside it."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _route(trees) -> callable:
     """Rows for the cells: a vector as data of its own cell, and as a query of every cell with a visited leaf."""
 
@@ -213,26 +242,29 @@ def _route(trees) -> callable:
                 for part in np.array_split(mine, max(1, -(-len(mine) // BATCH))) if len(mine) else ():
                     ids = batch.column(0).to_numpy(zero_copy_only=False)[part]
                     column = batch.column(2).take(pa.array(part))
-                    x = _unit(_matrix(column, tree.centres.shape[1])).astype(np.float32)
+                    x = _unit(_matrix(column, tree.centres.shape[1]))
                     leaves = tree.visit(x, tree.visits)
-                    cells = np.where(leaves >= 0, tree.cell[leaves], -1)
-                    home = cells[:, 0]
-                    block = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % tree.blocks[leaves[:, 0]]
-                    row, goal, piece = [np.arange(len(ids))], [home], [block]
-                    order = np.sort(cells, axis=1)
-                    fresh = np.concatenate([np.ones((len(ids), 1), bool), order[:, 1:] != order[:, :-1]], 1) & (order >= 0)
-                    r, c = np.nonzero(fresh)
-                    goals = order[r, c]
-                    count = np.zeros(int(tree.cell.max()) + 1, np.int64)
-                    count[tree.cell] = tree.blocks
-                    n = count[goals]
-                    r, goals = np.repeat(r, n), np.repeat(goals, n)
-                    pieces = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
-                    other = ~((goals == home[r]) & (pieces == block[r]))  # the data row is a query too
-                    row, goal, piece = np.concatenate([row[0], r[other]]), np.concatenate([home, goals[other]]), np.concatenate([block, pieces[other]])
-                    is_data = np.arange(len(row)) < len(ids)
+                    home = tree.cell[leaves[:, 0]]
+                    mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                    block = (mixed >> np.uint64(40)).astype(np.int64) % tree.blocks[home]
+                    pick = (mixed >> np.uint64(20)).astype(np.int64) & 0xFFFFF
+                    # data: to its block in every copy of its cell
+                    d_row, d_salt = _repeated(tree.salts[home])
+                    # queries: to every block of one copy of each visited cell
+                    visited_cells = tree.cells(leaves)
+                    q_row, at = np.nonzero(visited_cells >= 0)
+                    q_cell = visited_cells[q_row, at]
+                    again, q_block = _repeated(tree.blocks[q_cell])
+                    q_row, q_cell = q_row[again], q_cell[again]
+                    q_salt = pick[q_row] % tree.salts[q_cell]
+                    other = ~((q_cell == home[q_row]) & (q_block == block[q_row]))  # there the data row is the query too
+                    row = np.concatenate([d_row, q_row[other]])
+                    goal = np.concatenate([home[d_row], q_cell[other]])
+                    piece = np.concatenate([block[d_row] * tree.salts[home[d_row]] + d_salt, (q_block * tree.salts[q_cell] + q_salt)[other]])
+                    asks = np.concatenate([d_salt == (pick % tree.salts[home])[d_row], np.ones(int(other.sum()), bool)])
+                    is_data = np.arange(len(row)) < len(d_row)
                     seen = leaves[row]
-                    seen = np.where((seen >= 0) & (tree.cell[seen] == goal[:, None]), seen, -1)
+                    seen = np.where((seen >= 0) & (tree.cell[seen] == goal[:, None]) & asks[:, None], seen, -1)
                     visited = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((seen >= 0).sum(1))]).astype(np.int32)), pa.array(seen[seen >= 0].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([space] * len(row)), pa.array(goal.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(ids[row]), pa.array(np.where(is_data, leaves[row, 0], -1).astype(np.int32)), visited, column.take(pa.array(row))],
@@ -290,7 +322,7 @@ class _Cell:
         order = np.argsort(at_leaf, kind="stable")
         at_leaf, row = at_leaf[order], row[order]
         first = np.flatnonzero(np.diff(at_leaf, prepend=-1))
-        found = []
+        found, held = [], 0
         for a, b in zip(first, np.append(first[1:], len(at_leaf)), strict=True):
             lo, hi = np.searchsorted(self.leaf, [at_leaf[a], at_leaf[a] + 1])
             if lo == hi:
@@ -310,11 +342,24 @@ class _Cell:
                     cosine[e : e + (1 << 14)] = np.einsum("ij,ij->i", raw[i], self.raw[j], dtype=np.float64)
                 cosine = np.round(cosine / (norm[left] * self.norm[right]), 6)
                 good = cosine >= self.least
-                found.append((ids[left[good]], self.ids[right[good]], cosine[good]))
+                left, right, cosine = ids[left[good]], self.ids[right[good]], cosine[good]
+                found.append((np.concatenate([left, right]), np.concatenate([right, left]), np.concatenate([cosine, cosine])))  # a pair counts for both
+                held += 2 * len(left)
+                if held > HELD:
+                    found = [self._best(found)]
+                    held = len(found[0][0])
         if found:
-            left, right, cosine = (np.concatenate(f) for f in zip(*found, strict=True))
-            best = best_of(left, right, cosine, self.keep)
-            yield pa.RecordBatch.from_arrays([pa.array(left[best], pa.int64()), pa.array(right[best], pa.int64()), pa.array(cosine[best])], names=["rep", "other", "cosine"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in self._best(found)], names=["rep", "other", "cosine"])
+
+    def _best(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        left, right, cosine = (np.concatenate(f) for f in zip(*found, strict=True))
+        order = np.lexsort((right, left))
+        left, right, cosine = left[order], right[order], cosine[order]
+        new = np.ones(len(left), bool)
+        new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+        left, right, cosine = left[new], right[new], cosine[new]
+        best = best_of(left, right, cosine, self.keep)
+        return left[best], right[best], cosine[best]
 
 
 def _compare(keep: int, least: float) -> callable:
@@ -348,15 +393,21 @@ def _compare(keep: int, least: float) -> callable:
     return run
 
 
-def fit_trees(classes: DataFrame, spaces: dict[str, int], k: int, least: float) -> dict[str, Tree]:
-    totals = {r["space"]: r["n"] for r in classes.groupBy("space").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per space
+def fit_trees(keyed: DataFrame, spaces: dict[str, int], k: int, least: float) -> dict[str, Tree]:
+    """keyed: vectors with the hashes of their values (h1, h2). Equal vectors are sampled together, and count as one."""
+    totals = {r["space"]: r["n"] for r in keyed.groupBy("space").agg(F.approx_count_distinct("h1", 0.02).alias("n")).collect()}  # a row per space
     trees = {}
     for space in spaces:
-        if totals.get(space):
-            rows = classes.filter(F.col("space") == space).select(F.xxhash64("id").alias("h"), "id", "vec").orderBy("h", "id").limit(SAMPLE).select("vec").toArrow()
-            x = _unit(_matrix(rows.column("vec").combine_chunks(), spaces[space])).astype(np.float32)
-            trees[space] = Tree.fit(x, totals[space])
-            trees[space].calibrate(x, k, least)
+        if total := totals.get(space):
+            share = min(MOST_SAMPLE, max(SAMPLE, total // SHARE)) / total
+            rows = keyed.filter(F.col("space") == space)
+            if share < 1:
+                rows = rows.filter(F.xxhash64("h1", "h2") < int((2 * share - 1) * 2**63))
+            rows = rows.groupBy("h1", "h2").agg(F.first("vec").alias("vec")).orderBy("h1", "h2").select("vec").toArrow()  # about ``share`` of the different vectors
+            x = _unit(_matrix(rows.column("vec").combine_chunks(), spaces[space]))
+            total = max(total, len(x))
+            trees[space] = Tree.fit(x, total)
+            trees[space].calibrate(x, k, least, total, both=True)
     return trees
 
 
@@ -369,24 +420,25 @@ def neighbours(df: DataFrame, spark: SparkSession, id_col: str = "vec_id", space
     if not trees:
         return spark.createDataFrame([], "id bigint, other bigint, cosine double")
     shared = spark.sparkContext.broadcast(trees)
-    routed = classes.select("id", "space", "vec").mapInArrow(_route(shared), "space string, cell int, block int, id bigint, leaf int, visits array<int>, vec array<float>")
-    groups = sum(int(t.blocks[np.unique(t.cell, return_index=True)[1]].sum()) for t in trees.values())
+    routed = mapped(classes.select("id", "space", "vec"), _route(shared), "space string, cell int, block int, id bigint, leaf int, visits array<int>, vec array<float>")
+    groups = sum(int((t.blocks * t.salts).sum()) for t in trees.values())
     cells = routed.repartition(4 * groups, "space", "cell", "block").sortWithinPartitions("space", "cell", "block", F.desc("leaf"))
-    between = cells.mapInArrow(_compare(k + 1, least), "rep bigint, other bigint, cosine double")
+    between = mapped(cells, _compare(k + 1, least), "rep bigint, other bigint, cosine double")
     # members of the classes: all ids with their class, and the few ids of each class that can be on a list
     ids = keyed.select("h1", "h2", "id")
-    reps = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    copies = reps.filter("n > 1")
-    member = ids.join(copies, ["h1", "h2"]).select("rep", "id")
-    # (a class's smallest ids: each further minimum needs only the ids beyond the last, so nothing is collected)
-    salted = member.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = salted.withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("id"))).filter(F.col("r") <= k + 1)
+    copies = ids.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    member = ids.join(copies, ["h1", "h2"]).select("rep", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"))
+    # (a class's smallest ids: first of each part, so no class is sorted whole)
+    few = member.withColumn("r", F.row_number().over(Window.partitionBy("rep", "part").orderBy("id"))).filter(F.col("r") <= k + 1)
     listed = few.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).filter(F.col("r") <= k + 1).select("rep", "id")
     more = between.join(listed.select(F.col("rep").alias("other"), F.col("id").alias("copy")), "other", "left")
     entries = more.select("rep", F.coalesce("copy", "other").alias("other"), "cosine").unionByName(listed.select("rep", F.col("id").alias("other"), F.lit(1.0).alias("cosine")))
+    # a pair may come from both of its vectors; equal entries are neighbours in the order
     best = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
-    of_class = entries.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
-    own = of_class.join(member.withColumnRenamed("rep", "m_rep").withColumnRenamed("id", "m"), F.col("rep") == F.col("m_rep"), "left")
+    ranked = entries.withColumn("r", F.dense_rank().over(best)).filter(F.col("r") <= k + 1).withColumn("again", F.lag("other").over(best).eqNullSafe(F.col("other")))
+    of_class = ranked.filter(~F.col("again")).select("rep", "other", "cosine").join(copies.select("rep", "parts"), "rep", "left")
+    spread = of_class.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))).drop("parts")
+    own = spread.join(member.withColumnRenamed("id", "m"), ["rep", "part"], "left")
     lists = own.select(F.coalesce("m", "rep").alias("id"), "other", "cosine").filter(F.col("id") != F.col("other"))
     last = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return lists.withColumn("r", F.row_number().over(last)).filter(F.col("r") <= k).drop("r")
@@ -405,8 +457,7 @@ def p1_found(spark, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_lists": p1_lists}
-SQL = {
-    "p1_found": """
+_SIMILAR = """
 WITH v AS (
   SELECT vec_id, lower(trim(space)) AS space, list_transform(vec, lambda x: x::DOUBLE) AS vec FROM vectors
   WHERE vec IS NOT NULL AND len(vec) = CASE lower(trim(space)) WHEN 'w2v' THEN 80 WHEN 'bert' THEN 96 END
@@ -414,6 +465,8 @@ WITH v AS (
   SELECT * FROM v WHERE len(list_filter(vec, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0
 ), s AS (
   SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.vec, b.vec), 6) AS c FROM ok a JOIN ok b ON a.space = b.space AND a.vec_id <> b.vec_id
-), r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
-SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 5 AND c >= 0.75"""
+), r AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)"""
+SQL = {
+    "p1_found": _SIMILAR + " SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE k <= 5 AND c >= 0.75",
+    "p1_lists": _SIMILAR + " SELECT a AS vec_id, b AS other_id, c AS cosine FROM r WHERE k <= 5 AND c >= 0.75",
 }

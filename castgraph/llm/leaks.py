@@ -13,7 +13,7 @@ positions of the embedding per repeat; windows of texts that share a sample with
 exact edit distance between the word sequences, whatever the number of edits.  Walks from one word are shared by all window lengths.
 
 A window of a text can lie within ``max_edits`` of an item's window only if all but ``max_edits`` of its words occur in
-the items; the other windows are skipped before the walk, which loses nothing.
+items' windows of that length; the other windows are skipped before the walk, which loses nothing.
 
 Scale.  Documents never leave their task: no shuffle but the final distinct on (document, item).  The index over the items
 is broadcast in blocks of at most INDEX_BYTES, one pass over the texts per block, so its size is bounded whatever the items' number or length
@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 from castgraph.functions import mapped
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
-WINDOW, STEPS, SEED = 10, 3, 7
+WINDOW, STEPS, SEED = 10, 2, 7
 VERIFY = 1 << 16  # candidates compared at once
 CHUNK = 1 << 18  # characters worked on at once
 INDEX_BYTES = 256 << 20
 #: Repeats of the embedding by permitted word edits; 1 suffices for equal windows, whose embeddings are equal.
-REPEATS = {0: 1, 1: 16, 2: 80}
-SAMPLES = {0: 6, 1: 5, 2: 5}
+REPEATS = {0: 1, 1: 24, 2: 80}
+SAMPLES = {0: 6, 1: 6, 2: 5}
 #: A word cut by a hyphen at a line's end, whose rest may stand behind quote marks.
 _CUT = re.compile("[-‐](?<=[^\\W_].)[^\\S\r\n  \x85]*(?:\r\n|[\n\r  \x85])[>\\s]*(?=[^\\W_])")
 _PAD = np.uint64(0)
@@ -146,8 +146,8 @@ class Index:
 
     def _build(self, items: np.ndarray, words: np.ndarray, counts: np.ndarray, window: int, max_edits: int) -> None:
         self.window, self.max_edits, self.repeats = window, max_edits, repeats_for(max_edits)
-        self.vocabulary = np.unique(words)
         begins = np.cumsum(counts) - counts
+        self.known: dict[int, np.ndarray] = {}  # the words of the windows of each length
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
         for length in sorted(set(np.minimum(counts[counts > 0], window).tolist())):
             mine = np.flatnonzero((counts >= window) if length == window else (counts == length))
@@ -160,6 +160,7 @@ class Index:
                 order = np.argsort(sig, kind="stable").astype(np.int32)
                 tables.append((sig[order], order))
             self.by_length[length] = (windows, items[np.repeat(mine, n)], tables)
+            self.known[length] = np.unique(windows)
 
     def samples(self, length: int) -> int:
         return max(1, min(SAMPLES.get(self.max_edits, 2), length // 2))
@@ -167,11 +168,12 @@ class Index:
     def matches(self, words: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """(text, item, word position, edits) of every verified window."""
         found = [np.zeros((0, 4), np.int64)]
-        if not len(words) or not len(self.vocabulary):
+        if not len(words):
             return found[0]
-        k = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        strange = np.concatenate([[0], np.cumsum(self.vocabulary[k] != words)])
         for length, (windows, items, tables) in self.by_length.items():
+            known = self.known[length]
+            k = np.minimum(np.searchsorted(known, words), len(known) - 1)
+            strange = np.concatenate([[0], np.cumsum(known[k] != words)])
             edits = min(self.max_edits, length - 1)
             # with edits a passage may be shorter or longer than the item's window
             sizes = [own for own in range(length - edits, length + edits + 1) if own <= len(words)]

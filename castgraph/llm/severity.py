@@ -9,7 +9,8 @@ Model.  Reviewers' votes give ordered grades: 0 none, 1 disputed, 2 agreed.  P(g
 vector for all thresholds.  The worst sentence of a document changes with w, so it is chosen anew in each step of the fit.
 Output is the expected severity, the sum of both probabilities, between 0 and 2; a document is a case from CASE on.
 
-Scale.  The fit takes a bounded sample of labelled documents (MAX_LABELLED, those with the smallest hash of their id); scoring is
+Scale.  The fit takes a bounded sample of labelled documents (MAX_LABELLED, those with the smallest hash of their id).  Their features are made and
+counted on the executors; the driver gets numbers only, a list per sentence of those that occur in LEAST_DOCS documents and more.  Scoring is
 a single pass without shuffle over all documents and whole texts; the weights (4 MB at 20 bits) are broadcast.
 
 Defined results: null, empty and blank texts score 0 and are no cases; repeated votes of one reviewer on a document count
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from castgraph.functions import mapped
+from castgraph.functions import checkpointed, mapped
 from castgraph.llm.wordhash import mix, substring_hashes, word_classes
 
 FEATURE_BITS, MAX_LABELLED, STEPS, RATE, RIDGE = 20, 12_000, 160, 0.08, 6e-4
@@ -116,8 +117,8 @@ def _words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def features(texts: list[str], kinds: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers, each one's sentence, and each sentence's text; kinds: the kind's hash of a listed term's hash."""
+def features(texts: list[str], kinds: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers, each one's sentence, and each sentence's text; kinds: the kind's hash and the number of words by a listed term's hash."""
     codes, starts, ends = plain(texts)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -139,12 +140,13 @@ def features(texts: list[str], kinds: dict[int, int]) -> tuple[np.ndarray, np.nd
         numbers.append(three), where.append(np.where(sentence[2:] == sentence[:-2], sentence[2:], -1))
         skip = mix(words[:-2] * np.uint64(7) + mix(words[2:]) + np.uint64(1))
         numbers.append(skip), where.append(where[-1])
-    if kinds:
-        listed = np.array(sorted(kinds), np.uint64)
-        for sequences, places in list(zip(numbers[:3], where[:3], strict=True)):  # terms of one, two and three words
-            k = np.minimum(np.searchsorted(listed, sequences), len(listed) - 1)
-            at = np.flatnonzero(listed[k] == sequences)
-            numbers.append(np.array([kinds[int(w)] for w in sequences[at].tolist()], np.uint64)), where.append(places[at])
+    for n in sorted({n for _, n in kinds.values()}):  # listed terms of n words
+        if n <= len(words):
+            listed = np.array(sorted(t for t, (_, m) in kinds.items() if m == n), np.uint64)
+            runs = _sequences(words, n)
+            k = np.minimum(np.searchsorted(listed, runs), len(listed) - 1)
+            at = np.flatnonzero((listed[k] == runs) & (sentence[n - 1 :] == sentence[: len(runs)]))
+            numbers.append(np.array([kinds[int(w)][0] for w in runs[at].tolist()], np.uint64)), where.append(sentence[at])
     number, place = np.concatenate(numbers), np.concatenate(where)
     good = place >= 0
     return (number[good] >> np.uint64(64 - FEATURE_BITS)).astype(np.int64), place[good], owner[first]
@@ -154,7 +156,7 @@ def features(texts: list[str], kinds: dict[int, int]) -> tuple[np.ndarray, np.nd
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
-    kinds: dict[int, int]
+    kinds: dict[int, tuple[int, int]]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Expected severity of each text."""
@@ -166,69 +168,108 @@ class Model:
             return np.where(np.isneginf(best), 0.0, (1 / (1 + np.exp(self.thresholds[:, None] - best))).sum(0))
 
 
-def term_kinds(terms: list[tuple[str | None, str | None]]) -> dict[int, int]:
-    """The kind's hash by the hash of the term's one to three words; longer terms are left out."""
+def term_kinds(terms: list[tuple[str | None, str | None]]) -> dict[int, tuple[int, int]]:
+    """The kind's hash and the number of words, by the hash of the term."""
     good = [(t, k) for t, k in terms if t and t.strip() and k]
     out = {}
     for text, kind in good:
         codes, starts, ends = plain([text])
-        if 1 <= len(starts) <= 3:
-            words = substring_hashes(codes, starts, ends)
-            with np.errstate(over="ignore"):
-                term = words[:1] if len(words) == 1 else mix(words[:1] * np.uint64(3) + mix(words[1:2]))
-                if len(words) == 3:
-                    term = mix(term * np.uint64(5) + mix(words[2:3]))
-            out[int(term[0])] = int(mix(np.array([sum(map(ord, kind)) * 2654435761 + 99], np.uint64))[0])
+        if len(starts):
+            name = np.frombuffer(kind.encode("utf-8", "surrogatepass"), np.uint8)
+            out[int(_sequences(substring_hashes(codes, starts, ends), len(starts))[0])] = int(substring_hashes(name, np.array([0]), np.array([len(name)]))[0]), len(starts)
     return out
 
 
-def fit(texts: list[str], grades: np.ndarray, kinds: dict[int, int]) -> Model:
+def _sequences(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = words[: len(words) - n + 1]
+    with np.errstate(over="ignore"):
+        for k in range(1, n):
+            out = mix(out * np.uint64(2 * k + 1) + mix(words[k : len(words) - n + 1 + k]))
+    return out
+
+
+@dataclass
+class Features:
+    """Texts as feature numbers: each one's sentence, and each sentence's text; in_all and in_bad: texts and graded texts that hold a feature of ``used``."""
+
+    texts: int
+    used: np.ndarray
+    in_all: np.ndarray
+    in_bad: np.ndarray
+    number: np.ndarray
+    place: np.ndarray
+    owner: np.ndarray
+
+    def __len__(self) -> int:
+        return self.texts
+
+
+def document_counts(number: np.ndarray, text: np.ndarray, grades: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, the texts that hold each, and those of them with a grade above 0."""
+    pair = np.unique(number * len(grades) + text)
+    of, text = np.divmod(pair, max(1, len(grades)))
+    found, at = np.unique(of, return_inverse=True)
+    return found, np.bincount(at, minlength=len(found)), np.bincount(at, grades[text] > 0, len(found)).astype(np.int64)
+
+
+def _extracted(texts: list[str], grades: np.ndarray, kinds: dict) -> Features:
+    batches = [slice(k, k + 200) for k in range(0, len(texts), 200)]
+    in_all, in_bad = np.zeros(1 << FEATURE_BITS), np.zeros(1 << FEATURE_BITS)
+    for part in batches:
+        number, place, owner = features(texts[part], kinds)
+        found, n_all, n_bad = document_counts(number, owner[place], grades[part])
+        in_all[found] += n_all
+        in_bad[found] += n_bad
+    used = np.flatnonzero(in_all >= LEAST_DOCS)
+    parts, sentences = [], 0
+    for part in batches:
+        number, place, owner = used_features(features(texts[part], kinds), used)
+        parts.append((number, place + sentences, owner + part.start))
+        sentences += len(owner)
+    return Features(len(texts), used, in_all[used], in_bad[used], *(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+
+def used_features(found: tuple[np.ndarray, np.ndarray, np.ndarray], used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places in ``used`` of those features that are, sorted by sentence."""
+    number, place, owner = found
+    at = np.minimum(np.searchsorted(used, number), max(0, len(used) - 1))
+    keep = used[at] == number if len(used) else np.zeros(len(number), bool)
+    at, place = at[keep], place[keep]
+    order = np.argsort(place, kind="stable")
+    return at[order].astype(np.int32), place[order].astype(np.int32), owner
+
+
+def fit(texts: list[str] | Features, grades: np.ndarray, kinds: dict) -> Model:
     """Cumulative-link weights on the worst sentence of each text."""
     weights, size = np.zeros(1 << FEATURE_BITS), 1 << FEATURE_BITS
     grades = np.asarray(grades)
     if len(texts) == 0 or not (grades == 0).any() or not (grades > 0).any():
-        for k in set(kinds.values()):
+        for k, _ in set(kinds.values()):
             weights[k >> (64 - FEATURE_BITS)] = 4.0
         return Model(weights, np.array([2.0, 3.0]), kinds)
-    # features seen in few texts say nothing: a first pass counts texts, a second keeps the rest, sorted by sentence
-    batches = [slice(k, k + 200) for k in range(0, len(texts), 200)]
-    in_bad, in_all = np.zeros(size), np.zeros(size)
-    for part in batches:
-        number, place, owner = features(texts[part], kinds)
-        pair = np.unique(number * 256 + owner[place])
-        np.add.at(in_all, pair // 256, 1)
-        np.add.at(in_bad, pair // 256, grades[part][pair % 256] > 0)
-    used = np.flatnonzero(in_all >= LEAST_DOCS)
-    short = np.full(size, -1, np.int32)
-    short[used] = np.arange(len(used))
-    in_bad, in_all = in_bad[used], in_all[used]
-    parts, base_s, base_t = [], 0, 0
-    for part in batches:
-        number, place, owner = features(texts[part], kinds)
-        number = short[number]
-        keep = number >= 0
-        number, place = number[keep], place[keep]
-        order = np.argsort(place, kind="stable")
-        parts.append((number[order], (place[order] + base_s).astype(np.int32), (owner + base_t).astype(np.int32)))
-        base_s, base_t = base_s + len(owner), base_t + len(texts[part])
-    number, place, owner = (np.concatenate(p) for p in zip(*parts, strict=True))
-    del parts
+    # features seen in few texts say nothing
+    f = texts if isinstance(texts, Features) else _extracted(texts, grades, kinds)
+    used, in_all, in_bad, number, owner = f.used, f.in_all, f.in_bad, f.number, f.owner
     n_bad, n_good = float((grades > 0).sum()), float((grades == 0).sum())
     odds = np.log((in_bad + 0.5) / (n_bad + 1)) - np.log((in_all - in_bad + 0.5 * n_good / n_bad) / (n_good + 1))
     weights = np.clip(odds, -2, 2) * 0.3
     thresholds = np.array([2.0, 2.5])
     m, v, mt, vt = np.zeros(len(used)), np.zeros(len(used)), np.zeros(2), np.zeros(2)
-    bounds = np.searchsorted(place, np.arange(len(owner) + 1))
+    bounds = np.searchsorted(f.place, np.arange(len(owner) + 1))
+    filled = np.flatnonzero(np.diff(bounds))
+    score = np.zeros(len(owner), np.float32)
     of_doc = np.searchsorted(owner, np.arange(len(texts) + 1))
     full = of_doc[1:] > of_doc[:-1]
     docs = np.flatnonzero(full)
     y = grades[docs]
     logistic = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for step in range(1, STEPS + 1):
-        score = np.bincount(place, weights[number], len(owner))
+    for step in range(1, STEPS + 1) if len(filled) else ():
+        score[filled] = np.add.reduceat(weights.astype(np.float32)[number], bounds[filled])
         z = np.maximum.reduceat(score, of_doc[:-1][full])
         top = np.flatnonzero(score == np.repeat(z, np.diff(of_doc)[full]))
         worst = top[np.searchsorted(owner[top], docs)]
+        z = z.astype(np.float64)
         p0, p1 = logistic(z - thresholds[0]), logistic(z - thresholds[1])
         d0, d1 = p0 * (1 - p0), p1 * (1 - p1)
         between = np.maximum(p0 - p1, 1e-9)
@@ -264,11 +305,56 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, terms: DataFrame, most: int = MAX_LABELLED) -> Model:
-    kinds = term_kinds([(r[0], r[1]) for r in terms.select("term", "kind").dropna().distinct().collect()])
+    listed = terms.select("term", "kind").dropna().distinct()
+    kinds = term_kinds([(r[0], r[1]) for r in listed.toLocalIterator()])  # the list is part of the model, which goes to every task
     chosen = graded(labels).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).drop("h")
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade")).select("text", "grade").toArrow()  # at most ``most`` rows
-    return fit(rows.column("text").to_pylist(), rows.column("grade").to_numpy(), kinds)
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").cast("long").alias("grade")).select("text", "grade")
+    rows = checkpointed(rows.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism))  # at most ``most`` rows, read twice
+    counted = mapped(rows, _count_features(kinds), "number bigint, n_all bigint, n_bad bigint").groupBy("number").agg(F.sum("n_all").alias("n_all"), F.sum("n_bad").alias("n_bad"))
+    counted = counted.filter(F.col("n_all") >= LEAST_DOCS).orderBy("number").toArrow()  # at most 2**FEATURE_BITS rows
+    used, in_all, in_bad = (counted.column(c).to_numpy() for c in ("number", "n_all", "n_bad"))
+    lists = mapped(rows, _list_features(kinds, used), "grade bigint, sizes array<int>, numbers array<int>").toArrow()
+    grades = lists.column("grade").to_numpy()
+    sizes, numbers = (lists.column(c).combine_chunks() for c in ("sizes", "numbers"))
+    in_text, in_sentence = sizes.value_lengths().to_numpy(zero_copy_only=False), sizes.flatten().to_numpy(zero_copy_only=False)
+    place = np.repeat(np.arange(len(in_sentence), dtype=np.int32), in_sentence)
+    return fit(Features(len(grades), used, in_all, in_bad, numbers.flatten().to_numpy(zero_copy_only=False), place, np.repeat(np.arange(len(grades)), in_text)), grades, kinds)
+
+
+def _few(batch: pa.RecordBatch) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Texts and grades of a batch, about CHUNK characters at a time."""
+    grades, texts, begin, held = batch.column(1).to_numpy(), [], 0, 0
+    for k, text in enumerate(batch.column(0)):
+        texts.append(text.as_py())
+        held += len(texts[-1])
+        if held >= CHUNK or k == batch.num_rows - 1:
+            yield texts, grades[begin : k + 1]
+            texts, begin, held = [], k + 1, 0
+
+
+def _count_features(kinds: dict) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts, grades in _few(batch):
+                number, place, owner = features(texts, kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in document_counts(number, owner[place], grades)], names=["number", "n_all", "n_bad"])
+
+    return run
+
+
+def _list_features(kinds: dict, used: np.ndarray) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts, grades in _few(batch):
+                number, place, owner = used_features(features(texts, kinds), used)
+                sizes = np.bincount(place, minlength=len(owner)).astype(np.int32)
+                sentences = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(sentences), pa.array(sizes)), pa.ListArray.from_arrays(pa.array(ends[sentences]), pa.array(number))
+                yield pa.RecordBatch.from_arrays([pa.array(grades), *lists], names=["grade", "sizes", "numbers"])
+
+    return run
 
 
 def score(docs: DataFrame, model: Model, spark: SparkSession, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -82,11 +82,16 @@ def heat_map(pairs: DataFrame) -> DataFrame:
     return spine.join(cells, ["row", "col"], "left").select("row", "col", F.coalesce("value", F.lit(0).cast(cells.schema["value"].dataType)).alias("value"))
 
 
-def graph(pairs: DataFrame, metric: str = "cooc") -> tuple[DataFrame, DataFrame]:
-    """vertices (id), edges (src, dst, weight): 1/value for co-occurrence, value - 1 for contextual cosine, else the value."""
+def graph(pairs: DataFrame, metric: str = "cooc", order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """vertices (id), edges (src, dst, weight): 1/value for co-occurrence, value - 1 for contextual cosine, else the value.
+
+    Of repeated edges, either way round, the last by ``order`` stays (ties and without ``order``: the greatest value).
+    """
     weight = {"cooc": F.lit(1.0) / F.col("value"), "bert": F.col("value") - 1.0}.get(metric, F.col("value"))
     vertices = pairs.select(F.explode(F.array("char1", "char2")).alias("id")).distinct()
-    return vertices, pairs.select(F.col("char1").alias("src"), F.col("char2").alias("dst"), weight.alias("weight"))
+    last = F.struct(*([order] if order else []), "value", "char1", "char2")
+    one = pairs.groupBy(*_key()).agg(F.max_by(F.struct("char1", "char2", "value"), last).alias("e")).select("e.*")
+    return vertices, one.select(F.col("char1").alias("src"), F.col("char2").alias("dst"), weight.alias("weight"))
 
 
 def node_groups(vertices: DataFrame, books: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from castgraph.operators.entities import first_match, last_match
+
+MOST_ALIASES = 10_000
+
 
 def entity_contexts(mentions: DataFrame, lengths: DataFrame, width: int = 10) -> DataFrame:
     """(book, entity, ctx_idx, start, end): the k-th mention's window of ``width`` tokens each side; starts don't reach back over the previous mention."""
@@ -19,6 +23,26 @@ def context_texts(contexts: DataFrame, books: DataFrame) -> DataFrame:
     return contexts.join(books, "book").select("book", "entity", "ctx_idx", "start", "end", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("end") - F.col("start")), " ").alias("text"))
 
 
+def mention_contexts(books: DataFrame, aliases: DataFrame, width: int = 10) -> DataFrame:
+    """(book, entity, ctx_idx, start, end, text) of every mention, as ``entity_contexts`` and ``context_texts`` give them; books: (book, tokens array).
+
+    The tokens around a mention are cut out of the array before it is exploded, so no row meets a book's tokens again; only mentions are shuffled.
+    Names are looked up in the row while there are at most MOST_ALIASES of them, in a join beyond.
+    """
+    known = [r[0] for r in aliases.select("alias").distinct().limit(MOST_ALIASES + 1).collect()]
+    tokens = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("token")))
+    if len(known) <= MOST_ALIASES:
+        tokens = F.filter(tokens, lambda x: x["token"].isin(known))
+    around = F.transform(tokens, lambda x: F.struct(x["pos"].alias("pos"), x["token"].alias("token"), F.slice("tokens", F.greatest(x["pos"] - width, F.lit(0)) + 1, F.least(x["pos"], F.lit(width)) + width + 1).alias("around")))
+    rows = books.select("book", F.size("tokens").alias("n_tokens"), F.explode(around).alias("m")).select("book", "n_tokens", "m.*")
+    # a token counts by the name it is replaced with, then by the entity that name is found as
+    names = first_match(aliases).withColumnsRenamed({"alias": "token", "canonical": "name"}).join(last_match(aliases).withColumnsRenamed({"alias": "name", "canonical": "entity"}), "name").select("token", "entity")
+    w = Window.partitionBy("book", "entity").orderBy("pos")
+    start = F.greatest(F.col("pos") - width, F.coalesce(F.lag("pos").over(w), F.lit(-1)) + 1)
+    cut = rows.join(names, "token").select("book", "entity", (F.row_number().over(w) - 1).alias("ctx_idx"), start.alias("start"), F.least(F.col("pos") + width + 1, F.col("n_tokens")).alias("end"), "around", F.greatest(F.col("pos") - width, F.lit(0)).alias("first"))
+    return cut.select("book", "entity", "ctx_idx", "start", "end", F.array_join(F.slice("around", F.col("start") - F.col("first") + 1, F.col("end") - F.col("start")), " ").alias("text"))
+
+
 def first_subsequence(tokens: Column, wanted: Column) -> Column:
     """0-based place of the first occurrence of a run of tokens; lower case is tried next; else 0.
 

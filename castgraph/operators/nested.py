@@ -125,12 +125,17 @@ def _json_acts(v: Column) -> Column:
 # -- the common shape and the tables --------------------------------------------------------------------------
 
 
-def with_acts(records: DataFrame, id_col: str = "record_id", body_col: str = "body") -> DataFrame:
-    """(record_id, acts) of each record; a JSON envelope's string ``payload`` is unpacked first."""
+def unwrapped(records: DataFrame, id_col: str, body_col: str) -> DataFrame:
+    """(record_id, body) without byte-order mark and blanks in front; a JSON envelope's string ``payload`` is unpacked."""
     blank = r"^[\s\x{feff}]+"
     df = records.select(F.col(id_col).alias("record_id"), F.regexp_replace(F.col(body_col), blank, "").alias("body"))
     df = once(df, "envelope", F.when(F.substring("body", 1, 1) == "{", F.try_parse_json("body")))
-    df = once(df, "body", F.coalesce(F.regexp_replace(_text(F.col("envelope"), "$.payload"), blank, ""), F.col("body")))
+    return once(df, "body", F.coalesce(F.regexp_replace(_text(F.col("envelope"), "$.payload"), blank, ""), F.col("body"))).select("record_id", "body")
+
+
+def with_acts(records: DataFrame, id_col: str = "record_id", body_col: str = "body") -> DataFrame:
+    """(record_id, acts) of each record, unwrapped first."""
+    df = unwrapped(records, id_col, body_col)
     df = once(df, "v", F.when(F.substring("body", 1, 1).isin("{", "["), F.try_parse_json("body")))
     acts = F.when(F.substring("body", 1, 1) == "<", _xml_acts(F.col("body"))).otherwise(_json_acts(F.col("v")))
     return once(df, "acts", _or_empty(acts, ACTS_T).cast(ACTS_T)).select("record_id", "acts")

@@ -1,50 +1,107 @@
 """Plays: TEI tags, speeches and adjacent-speech metrics: O-05, O-06, O-21..O-23, O-45..O-47, O-69.
 
-A TEI text is cut into scenes and speeches with two scans of the text, so each ``xpath`` call (literal paths) parses one speech
-only.  Speeches outside ``div2`` or not directly in one are ignored; a speech without who has the speaker [UNKNOWN].
+TEI texts are parsed in Arrow batches by an XML parser, so comments, CDATA, prefixes and nested elements of one name are what they are.
+A text that is no XML (null, JSON, malformed) gives no rows.  Speeches outside ``div2`` or not directly in one are ignored; a
+speech without who has the speaker [UNKNOWN].
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from castgraph.functions import mapped
+from castgraph.operators.nested import unwrapped
 from castgraph.operators.vectors import cosine
 
 UNKNOWN = "[UNKNOWN]"
+XML_ID = "{http://www.w3.org/XML/1998/namespace}id"
+
+
+def _parsed(df: DataFrame, play: str, text: str, rows_of: Callable[[str], list[tuple]], columns: str) -> DataFrame:
+    """(play, columns...): the rows of each play's text."""
+    bodies = unwrapped(df, play, text).withColumnRenamed("record_id", "play").filter("startswith(body, '<')")
+    schema = bodies.select("play").sparkSession.createDataFrame([], f"play {bodies.schema['play'].dataType.simpleString()}, {columns}").schema
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, body in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    rows = rows_of(body.as_py())
+                except (expat.ExpatError, ElementTree.ParseError):
+                    continue
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(rows), arrow[0].type), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[1:], strict=True))], schema=arrow)
+
+    return mapped(bodies, run, schema)
+
+
+def elements(xml: str, tag: str) -> list[str]:
+    """The source text of every element of a name (prefixes aside), nested ones too, in document order."""
+    raw = xml.encode("utf-8", "surrogatepass")
+    found: list[tuple[int, int]] = []
+    begun: list[int] = []
+    last = None
+    parser = expat.ParserCreate("utf-8")
+
+    def start(name: str, _: dict) -> None:
+        nonlocal last
+        last = name
+        if name.rpartition(":")[2] == tag:
+            begun.append(parser.CurrentByteIndex)
+
+    def end(name: str) -> None:
+        nonlocal last
+        if name.rpartition(":")[2] == tag:
+            at = parser.CurrentByteIndex
+            empty = last == name and raw[at - 2 : at] == b"/>"  # an empty element ends where its only tag does
+            found.append((begun.pop(), at if empty else raw.index(b">", at) + 1))
+        last = None
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.Parse(raw, True)
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in sorted(found)]
 
 
-def plain_xml(text: Column) -> Column:
-    """The text without comments, CDATA and name prefixes, which the scans below must not see."""
-    bare = F.regexp_replace(text, r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>", "")
-    return F.regexp_replace(bare, r"(</?)[A-Za-z_][\w.-]*:", "$1")
+def tags(df: DataFrame, play: str, text: str, tag: str) -> DataFrame:
+    """(play, idx, xml): every element of a name, in document order."""
+    return _parsed(df, play, text, lambda xml: list(enumerate(elements(xml, tag))), "idx int, xml string")
 
 
-def tags(df: DataFrame, play: str, text: str, tag: str) -> DataFrame:
-    """(play, idx, xml): every element of a name without children of that name, in document order."""
-    found = F.regexp_extract_all(plain_xml(F.col(text)), F.lit(rf"(?s)<{tag}(?:\s[^>]*)?/>|<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>"), F.lit(0))
-    return df.select(F.col(play).alias("play"), F.posexplode(found).alias("idx", "xml"))
+def _name(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
 
 
-def first_speaker(who: Column) -> Column:
-    """The first id of a who value without its mark."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.get(F.split(F.trim(who), r"\s+"), F.lit(0)), "^#", ""), F.lit("")), F.lit(UNKNOWN))
+def _speeches(xml: str) -> list[tuple]:
+    out = []
+    for i, scene in enumerate(e for e in ElementTree.fromstring(xml).iter() if _name(e) == "div2"):
+        for j, sp in enumerate(e for e in scene if _name(e) == "sp"):
+            who = (sp.get("who") or "").split()
+            ab = next((e for e in sp if _name(e) == "ab"), ())
+            out.append((i, j, (who[0].removeprefix("#") if who else "") or UNKNOWN, "".join(e.text or "" for e in ab if isinstance(e.tag, str))))
+    return out
 
 
 def speeches(df: DataFrame, play: str, text: str) -> DataFrame:
     """(play, scene_idx, speech_idx, speaker, text): direct speeches of each div2; the text joins the first ab's children's own texts."""
-    scenes = tags(df, play, text, "div2").select("play", F.col("idx").alias("scene_idx"), F.regexp_replace("xml", r"(?s)<div3[\s>].*?</div3\s*>", "").alias("xml"))
-    each = scenes.select("play", "scene_idx", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<sp(?:\s[^>]*)?/>|<sp(?:\s[^>]*)?>.*?</sp\s*>"), F.lit(0))).alias("speech_idx", "xml"))
-    no_ids = F.regexp_replace("xml", r"\sxml:id=", " id=")
-    words = F.xpath(no_ids, F.lit("sp/ab[1]/*/node()[1][self::text()]"))
-    return each.select("play", "scene_idx", "speech_idx", first_speaker(F.xpath_string(no_ids, F.lit("sp/@who"))).alias("speaker"), F.array_join(words, "").alias("text"))
+    return _parsed(df, play, text, _speeches, "scene_idx int, speech_idx int, speaker string, text string")
+
+
+def _characters(xml: str) -> list[tuple]:
+    every = [(_name(e), e.get(XML_ID)) for e in ElementTree.fromstring(xml).iter()]
+    return list(enumerate([*(i for n, i in every if n == "person" and i), *(i for n, i in every if n == "personGrp" and i), UNKNOWN]))
 
 
 def characters(df: DataFrame, play: str, text: str) -> DataFrame:
     """(play, idx, character): ids of person, then personGrp, then [UNKNOWN]."""
-    x = F.regexp_replace(plain_xml(F.regexp_replace(F.col(text), r"\sxml:id=", " id=")), r"\sxmlns(:\w+)?=(\"[^\"]*\"|'[^']*')", "")
-    ids = F.concat(F.xpath(x, F.lit("//person/@id")), F.xpath(x, F.lit("//personGrp/@id")), F.array(F.lit(UNKNOWN)))
-    return df.filter(F.col(text).isNotNull()).select(F.col(play).alias("play"), F.posexplode(ids).alias("idx", "character"))
+    return _parsed(df, play, text, _characters, "idx int, character string")
 
 
 def with_next(df: DataFrame, scene: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +29,14 @@ def alias_lines(spark: SparkSession, path: str, lower: bool = True) -> DataFrame
 
 
 def flat_names(spark: SparkSession, path: str) -> DataFrame:
-    """(name) of all names of alias files, case kept."""
-    return alias_lines(spark, path, lower=False).select("ent_idx", F.posexplode("aliases").alias("k", "name")).select("name")
+    """(name) of all names of alias files, case kept; a missing file gives an empty list and a warning."""
+    try:
+        return alias_lines(spark, path, lower=False).select("ent_idx", F.posexplode("aliases").alias("k", "name")).select("name")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no alias file at {path}", stacklevel=2)
+        return spark.createDataFrame([], "name string")
 
 
 def corpus_folder(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +56,12 @@ def vector_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vector_json(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vec) of {"vectors": {word: [..]}} files."""
-    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "struct<vectors:map<string,array<double>>>").alias("j"))
-    return parsed.select(F.explode("j.vectors").alias("word", "vec"))
+    """(word, vec) of {"vectors": {word: [..]}} files: one object a file, or one a line."""
+    kind = "struct<vectors:map<string,array<double>>>"
+    whole = spark.read.text(path, wholetext=True).select("value", F.from_json("value", kind).alias("j"))
+    lines = whole.filter("j.vectors IS NULL OR rlike(trim(value), '[}][\\\\r\\\\n]+[{]')").select(F.explode(F.split("value", "[\r\n]+")).alias("value")).select(F.from_json("value", kind).alias("j"))
+    one = whole.filter("j.vectors IS NOT NULL AND NOT rlike(trim(value), '[}][\\\\r\\\\n]+[{]')").select("j")
+    return one.unionByName(lines).select(F.explode("j.vectors").alias("word", "vec"))
 
 
 HYPERGRAPH = {

@@ -1,6 +1,6 @@
-"""Embeddings of texts: O-79..O-84. The embedder is pluggable; the default needs no model file.
+"""Embeddings of texts: O-67, O-79..O-84. The embedder is pluggable; the defaults need no model file.
 
-An Embedder turns a list of texts into token vectors; pooling is ``mean``, ``cls`` (the first token) or ``all``.  It is
+An Embedder turns a list of word pieces into one vector each; pooling is ``mean``, ``cls`` (the first piece) or ``all`` (a vector per piece).  It is
 built once per Python worker and called on Arrow batches.
 """
 
@@ -15,12 +15,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from castgraph.functions import mapped
+from castgraph.functions.shipping import ship_package
+
 POOLING = ("mean", "cls", "all")
+FIRST, LAST = "[CLS]", "[SEP]"
 
 
 class Embedder(Protocol):
-    def tokens(self, text: str) -> np.ndarray:
-        """One row per token."""
+    dim: int
+
+    def pieces(self, text: str) -> list[str]:
+        """The word pieces of a text, without special ones."""
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        """One row per piece."""
 
 
 class HashingEmbedder:
@@ -30,8 +39,14 @@ class HashingEmbedder:
         self.dim = dim
         self._seen: dict[str, np.ndarray] = {}
 
+    def pieces(self, text: str) -> list[str]:
+        return text.lower().split()
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        return np.array([self._word(w) for w in pieces], np.float32).reshape(-1, self.dim)
+
     def tokens(self, text: str) -> np.ndarray:
-        return np.array([self._word(w) for w in text.lower().split()], np.float32).reshape(-1, self.dim)
+        return self.rows(self.pieces(text))
 
     def _word(self, word: str) -> np.ndarray:
         if word not in self._seen:
@@ -42,34 +57,169 @@ class HashingEmbedder:
         return self._seen[word]
 
 
+class ContextHashingEmbedder(HashingEmbedder):
+    """A word's direction plus half the mean of those within two places, so a word's vector depends on its neighbours."""
+
+    def rows(self, pieces: list[str]) -> np.ndarray:
+        own = super().rows(pieces)
+        total, count = np.zeros_like(own), np.zeros((len(own), 1), np.float32)
+        for d in (1, 2):
+            total[d:] += own[:-d]
+            total[:-d] += own[d:]
+            count[d:] += 1
+            count[:-d] += 1
+        return own + 0.5 * total / np.maximum(count, 1)
+
+
 def pool(rows: np.ndarray, pooling: str, dim: int) -> np.ndarray:
     if pooling not in POOLING:
         raise ValueError(f"unknown pooling: {pooling}")
     if pooling == "all":
-        return rows.ravel()
+        return rows
     if not len(rows):
         return np.zeros(dim, np.float32)
     return rows[0] if pooling == "cls" else rows.mean(0)
 
 
+def masked_mean(rows: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """texts x places x dim and texts x places: each text's mean over the places of its mask."""
+    return (rows * mask[:, :, None]).sum(1) / np.maximum(mask.sum(1, keepdims=True), 1e-9)
+
+
 _MODELS: dict[str, Embedder] = {}
 
 
+def _model(make: Callable[[], Embedder], name: str) -> Embedder:
+    if name not in _MODELS:
+        _MODELS[name] = make()
+    return _MODELS[name]
+
+
+def _as_column(df: DataFrame, columns: list[str], out: str, each: Callable, kind: str) -> DataFrame:
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield each(batch)
+
+    run.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.Series]}
+    return df.withColumn(out, F.pandas_udf(run, kind)(F.struct(*columns)))
+
+
 def embed(df: DataFrame, text: str, out: str = "vec", make: Callable[[], Embedder] = HashingEmbedder, name: str = "hashing", pooling: str = "mean") -> DataFrame:
-    """Adds the pooled vector of each text; null texts have none."""
+    """Adds the pooled vector of each text, whole and without special pieces; null texts have none. ``all`` gives an array of vectors."""
     if pooling not in POOLING:
         raise ValueError(f"unknown pooling: {pooling}")
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = _MODELS.get(name)
-        if model is None:
-            model = _MODELS[name] = make()
-        dim = getattr(model, "dim", 1)
-        for texts in batches:
-            yield texts.map(lambda t: None if t is None else pool(model.tokens(t), pooling, dim))
-
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text)))
+    def each(batch: pd.DataFrame) -> pd.Series:
+        model = _model(make, name)
+        vectors = (None if t is None else pool(model.rows(model.pieces(t)), pooling, model.dim) for t in batch[text])
+        return pd.Series([list(v) if pooling == "all" and v is not None else v for v in vectors], dtype=object)
+
+    return _as_column(df, [text], out, each, "array<array<float>>" if pooling == "all" else "array<float>")
+
+
+def embed_batched(df: DataFrame, text: str, out: str = "vec", make: Callable[[], Embedder] = HashingEmbedder, name: str = "hashing", batch_size: int = 32, most: int = 512) -> DataFrame:
+    """Adds the mean over a text's pieces and the special ones around them, cut to ``most`` pieces in all; ``batch_size`` texts are padded to one length and embedded together."""
+
+    def each(batch: pd.DataFrame) -> pd.Series:
+        model, out = _model(make, name), []
+        texts = batch[text].tolist()
+        for k in range(0, len(texts), batch_size):
+            pieces = [[FIRST, *model.pieces(t or "")[: most - 2], LAST] for t in texts[k : k + batch_size]]
+            width = max(map(len, pieces))
+            rows, mask = np.zeros((len(pieces), width, model.dim), np.float32), np.zeros((len(pieces), width), np.float32)
+            for i, p in enumerate(pieces):
+                rows[i, : len(p)], mask[i, : len(p)] = model.rows(p), 1
+            out += list(masked_mean(rows, mask))
+        return pd.Series([None if t is None else v for t, v in zip(texts, out, strict=True)], dtype=object)
+
+    return _as_column(df, [text], out, each, "array<float>")
+
+
+def span_of(pieces: list[str], wanted: list[str]) -> int:
+    """Where the wanted pieces first occur in a row; lower case is tried next; else 0."""
+    n = len(wanted)
+    for have, want in ((pieces, wanted), ([p.lower() for p in pieces], [w.lower() for w in wanted])):
+        for i in range(len(have) - n + 1 if n else 0):
+            if have[i : i + n] == want:
+                return i
+    return 0
+
+
+def embed_entities(contexts: DataFrame, text: str = "text", entity: str = "entity", make: Callable[[], Embedder] = ContextHashingEmbedder, name: str = "context hashing") -> DataFrame:
+    """Adds ent_vec, the mean of the entity's pieces in its context, and cls_vec, the context's first piece; empty contexts have zeros."""
+    schema = contexts.select("*", F.lit(None).cast("array<float>").alias("ent_vec"), F.lit(None).cast("array<float>").alias("cls_vec")).schema
+    names = contexts.columns
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        model = _model(make, name)
+        for batch in batches:
+            found, firsts = [], []
+            for t, e in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index(entity)).to_pylist(), strict=True):
+                pieces, wanted = model.pieces(t or ""), model.pieces(e or "")
+                at = span_of(pieces, wanted)
+                rows = model.rows(pieces)
+                found.append(pool(rows[at : at + max(1, len(wanted))], "mean", model.dim))
+                firsts.append(pool(rows, "cls", model.dim))
+            column = lambda v: pa.array(v, pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column(found), column(firsts)], names=[*names, "ent_vec", "cls_vec"])
+
+    return mapped(contexts, run, schema)
+
+
+def _moved(vectors: np.ndarray, rows: np.ndarray, steps: np.ndarray) -> None:
+    """Adds each row's steps, together as long as their number's root times their mean, so frequent words don't run away."""
+    which, at, n = np.unique(rows, return_inverse=True, return_counts=True)
+    total = np.stack([np.bincount(at, steps[:, d], len(which)) for d in range(vectors.shape[1])], 1)
+    vectors[which] += total / np.sqrt(n)[:, None]
+
+
+def train_cbow(tokens: list[str], dim: int, window: int, seed: int = 42, epochs: int = 10, negative: int = 10, rate: float = 0.05, batch: int = 128) -> tuple[list[str], np.ndarray]:
+    """The words of a text and their vectors: continuous bag of words with negative samples, in small batches."""
+    words, ids = np.unique(np.array(tokens, dtype=object), return_inverse=True)
+    rng = np.random.default_rng(seed)
+    into, out = (rng.random((len(words), dim)) - 0.5) / dim, np.zeros((len(words), dim))
+    share = np.bincount(ids) ** 0.75
+    share = np.cumsum(share / share.sum())
+    n = len(ids)
+    steps = [d for d in range(-window, window + 1) if d]
+    for epoch in range(epochs):
+        step_rate = rate * (1 - epoch / epochs)
+        reach = rng.integers(1, window + 1, n)
+        for part in np.array_split(rng.permutation(n), -(-n // batch)):
+            place = part[:, None] + steps
+            near = (place >= 0) & (place < n) & (np.abs(steps) <= reach[part][:, None])
+            around = ids[np.clip(place, 0, n - 1)]
+            count = np.maximum(near.sum(1, keepdims=True), 1)
+            hidden = (into[around] * near[:, :, None]).sum(1) / count
+            chosen = np.concatenate([ids[part][:, None], np.minimum(np.searchsorted(share, rng.random((len(part), negative))), len(words) - 1)], 1)
+            miss = -1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", hidden, out[chosen]), -30, 30)))
+            miss[:, 0] += 1
+            miss[:, 1:][chosen[:, 1:] == chosen[:, :1]] = 0
+            back = np.einsum("bk,bkd->bd", miss, out[chosen]) * step_rate
+            _moved(out, chosen.ravel(), (step_rate * miss[:, :, None] * hidden[:, None]).reshape(-1, dim))
+            _moved(into, around[near], np.repeat(back / count, near.sum(1), axis=0))
+    return words.tolist(), into
+
+
+def word2vec_by_book(books: DataFrame, dim: int = 7, window: int = 15, seed: int = 42, epochs: int = 10) -> DataFrame:
+    """(book, word, vec): a model of its own for each row of (book, tokens array); books without tokens have none."""
+    schema = books.select("book", F.lit("").alias("word"), F.lit(None).cast("array<double>").alias("vec")).schema
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                tokens = batch.column(1)[k].as_py()
+                if tokens:
+                    words, vectors = train_cbow(tokens, dim, window, seed, epochs)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(words), batch.schema.field(0).type), pa.array(words, pa.string()), pa.array(list(vectors), pa.list_(pa.float64()))], names=["book", "word", "vec"])
+
+    return mapped(books.select("book", "tokens"), run, schema)
 
 
 def word2vec(tokens: DataFrame, dim: int = 7, window: int = 15, seed: int = 42, sentence: int = 1000, partitions: int = 1, iterations: int = 10) -> DataFrame:

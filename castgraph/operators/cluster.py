@@ -174,9 +174,8 @@ def dbscan_1d(df: DataFrame, value: str, eps: float, min_samples: int, group: li
     up = high & (~low | (F.col("after") - F.col("v") < F.col("v") - F.col("before")))
     next_number = F.col("number") + F.when(low & (F.col("after") - F.col("before") <= eps), 0).otherwise(1)
     cluster = F.when(F.col("core"), F.col("number")).when(up, next_number).when(low, F.col("number")).otherwise(-1)
-    labelled = v.select(*group, F.col("v").alias("_v"), cluster.cast("int").alias("cluster"))
-    same = [df[g].eqNullSafe(labelled[g]) for g in group]
-    on = df[value].cast("double") == labelled["_v"]
-    for s in same:
-        on = on & s
-    return df.join(labelled, on, "left").drop(*(labelled[g] for g in group)).drop("_v")
+    labelled = v.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("v").alias("_v"), cluster.cast("int").alias("_cluster"))
+    on = F.col(value).cast("double") == F.col("_v")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return df.drop("cluster").join(labelled, on, "left").select(*(c for c in df.columns if c != "cluster"), F.col("_cluster").alias("cluster"))

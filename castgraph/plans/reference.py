@@ -14,7 +14,7 @@ from castgraph.sources import sinks, table
 ALIAS_LINES = ["lantern lamp", "crown couronne krone corona", "kettle", "market bazaar lantern", "chapel kapelle chapelle capilla", "mirror miroir spiegel", "winter", "journey voyage reise", "candle kerze bougie vela", "harbour", "mill mühle moulin molino", "wedding hochzeit"]
 MASKED = ["lantern", "crown", "chapel", "Krone"]
 WINDOW, WIDTH = 15, 10
-EMBEDDINGS = 500  # in the SQL only: the embeddings' number at sf0.001 and sf0.01; the queries count them
+ALLOWED = ("click", "view")  # event types of the filtered scatter frame
 
 
 def _aliases(spark: SparkSession) -> DataFrame:
@@ -47,8 +47,7 @@ def cooc_corpus(spark, d):
 
 def entity_contexts(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("book"), text.clean_tokens(F.col("text")).alias("tokens"))
-    out = contexts.entity_contexts(_mentions(spark, d), docs.select("book", F.size("tokens").alias("n_tokens")), WIDTH)
-    return contexts.context_texts(out, docs).withColumnRenamed("start", "ctx_start").withColumnRenamed("end", "ctx_end")
+    return contexts.mention_contexts(docs, _aliases(spark), WIDTH).withColumnRenamed("start", "ctx_start").withColumnRenamed("end", "ctx_end")
 
 
 def _named_vectors(spark, d) -> DataFrame:
@@ -225,19 +224,19 @@ def dbscan1d(spark, d):
 
 def first_subsequence(spark, d):
     docs = once(table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text"), "words", text.raw_tokens(F.col("text")))
-    return docs.select("doc_id", contexts.first_subsequence(F.col("words"), F.array(F.lit("the"), F.lit("lantern"))).alias("at"))
-
-
-def _tei(spark, d) -> DataFrame:
-    return table(spark, d, "play_records").filter(F.ltrim("body").startswith("<"))
+    return docs.select("doc_id", contexts.first_subsequence(F.col("words"), F.array(F.lit("the"), F.lit("lantern"))).alias("place"))
 
 
 def tei_speeches(spark, d):
-    return play.speeches(_tei(spark, d), "record_id", "body").withColumnRenamed("play", "record_id")
+    return play.speeches(table(spark, d, "play_records"), "record_id", "body").withColumnRenamed("play", "record_id")
 
 
 def tei_tags(spark, d):
-    return play.tags(_tei(spark, d), "record_id", "body", "speaker").withColumnRenamed("play", "record_id")
+    return play.tags(table(spark, d, "play_records"), "record_id", "body", "speaker").withColumnRenamed("play", "record_id")
+
+
+def tei_characters(spark, d):
+    return play.characters(table(spark, d, "play_records"), "record_id", "body").withColumnRenamed("play", "record_id")
 
 
 def word2vec_vectors(spark, d):
@@ -245,9 +244,16 @@ def word2vec_vectors(spark, d):
 
 
 def pca_projection(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", "embedding")
-    out, _ = vectors.principal_components(rows, "embedding", 3, ["vec_id"])
-    return out.select("vec_id", *(F.col("pc")[i].alias(f"pc{i + 1}") for i in range(3)))
+    """The first three components of each embedding with its colour group."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    out, _ = vectors.principal_components(rows, "embedding", 3, ["vec_id", "label"])
+    return out.select("vec_id", "label", *(F.col("pc")[i].alias(f"pc{i + 1}") for i in range(3)))
+
+
+def pca_variance(spark, d):
+    """The share of the variance that each of the three components explains."""
+    _, ratios = vectors.principal_components(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 3, ["vec_id"])
+    return spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)], "component int, ratio double")
 
 
 def spring_layout(spark, d):
@@ -282,6 +288,60 @@ def graph_node_books(spark, d):
     return compare.node_groups(nodes.filter("id IS NOT NULL"), compare.entity_book(lists))
 
 
+def _listed_pairs(spark, d) -> DataFrame:
+    p = table(spark, d, "corpus_pairs").filter("char1 IS NOT NULL AND char2 IS NOT NULL")
+    good = lambda c: F.when(~F.isnan(c), F.col(c))
+    return p.select("char1", "char2", good("cosine_similarity_w2v").alias("w2v"), good("cosine_similarity_bert").alias("bert"), "same_book")
+
+
+def metric_compare_four(spark, d):
+    """Four metrics of each listed pair, each in two clusters: how often it is listed, the greatest cosine of either space, the least of the contextual one."""
+    p = _listed_pairs(spark, d)
+    by = lambda value: p.groupBy(F.least("char1", "char2").alias("char1"), F.greatest("char1", "char2").alias("char2")).agg(F.round(value.cast("double"), 4).alias("value")).filter("value IS NOT NULL")
+    metrics = {"cooc": by(F.count(F.lit(1))), "w2v": by(F.max("w2v")), "bert": by(F.max("bert")), "bert_least": by(F.min("bert"))}
+    return compare.compare_wide({name: cluster.cluster_values(df, 2) for name, df in metrics.items()})
+
+
+def book_matrix_dense(spark, d):
+    """As book_matrix_mean, with a cell for every two books."""
+    p = table(spark, d, "corpus_pairs").filter("cosine_similarity_w2v IS NOT NULL AND NOT isnan(cosine_similarity_w2v) AND char_book IS NOT NULL AND char2_book IS NOT NULL")
+    return compare.book_matrix(p.select(F.col("char_book").alias("book1"), F.col("char2_book").alias("book2"), F.col("cosine_similarity_w2v").alias("value"))).withColumn("mean", F.round("mean", 6))
+
+
+def w2v_pair_list(spark, d):
+    """The pairs of each book's words by their mean word vectors; of a pair listed in several books the most similar."""
+    means = vectors.mean_vectors(_named_vectors(spark, d).filter("space = 'w2v' AND book IS NOT NULL AND word IS NOT NULL"), ["book", "word"], "vec").withColumnRenamed("word", "name")
+    pairs = vectors.pair_similarities(means, ["name"], ["book"]).withColumn("value", F.round("value", 6)).filter("value IS NOT NULL")
+    return vectors.dedup_pairs(pairs).orderBy(F.desc("value"), "char1", "char2")
+
+
+def pairs_with_vectors(spark, d):
+    """Listed pairs both of whose names have a usable word vector."""
+    names = _named_vectors(spark, d).filter("space = 'w2v'").select("word").dropna().distinct()
+    pairs = table(spark, d, "corpus_pairs").select("char1", "char2").dropna().distinct()
+    return pairs.join(names.withColumnRenamed("word", "char1"), "char1", "left_semi").join(names.withColumnRenamed("word", "char2"), "char2", "left_semi").select("char1", "char2")
+
+
+def scatter_allowed(spark, d):
+    """The scatter frame of the allowed characters, the most co-occurring first."""
+    kept = _scatter(spark, d).filter(F.col("char1").isin(*ALLOWED) & F.col("char2").isin(*ALLOWED))
+    return kept.withColumn("cosine", F.round("cosine", 5)).orderBy(F.desc("cooc"), "char1", "char2")
+
+
+def mask_labels(spark, d):
+    """Labels of the masked words' places, a word's id being its length: how many are kept, and the sum of all."""
+    words = F.split(mlmprep.mask_names(F.col("text"), MASKED), " ")
+    docs = once(table(spark, d, "documents").filter(F.col("text").isNotNull()).select("doc_id", "text"), "labels", mlmprep.mask_labels(F.transform(words, F.char_length), len(mlmprep.MASK)))
+    return docs.select("doc_id", F.size(F.filter("labels", lambda x: x >= 0)).alias("n_kept"), F.aggregate("labels", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"))
+
+
+def cluster_ranks(spark, d):
+    """Languages as clusters, ranked by the mean length of their texts."""
+    lang = F.lower(F.substring(F.trim("lang"), 1, 2))
+    means = table(spark, d, "documents").select(lang.alias("lang"), F.char_length("text").alias("n")).dropna().groupBy("lang").agg(F.avg("n").alias("centre"))
+    return cluster.rank_labels(means).select("lang", "cluster")
+
+
 def entity_report(spark, d):
     return sinks.entity_report(_aliases(spark))
 
@@ -294,6 +354,7 @@ QUERIES = {
         graph_edges_inverse_weight, graph_nodes, same_book_flag, entity_book_lookup, book_matrix_mean, order_clique_expansion, order_star_expansion, order_node_totals,
         clique_edges_merged, cast_links, play_types, mask_entities, greedy_chunks, cluster_pairs_kmeans1d, dbscan1d, first_subsequence, tei_speeches, tei_tags,
         word2vec_vectors, pca_projection, spring_layout, context_vectors, pairs_aligned, shared_vocabulary, graph_node_books, entity_report,
+        tei_characters, pca_variance, metric_compare_four, book_matrix_dense, w2v_pair_list, pairs_with_vectors, scatter_allowed, mask_labels, cluster_ranks,
     )
 } | {"token_positions": _tokens, "canonicalize_first_match": _canonical, "mentions_last_match": _mentions}
 
@@ -324,7 +385,7 @@ def _with(upto: str, query: str) -> str:
 
 
 _SPOKEN = "WITH spoken AS (SELECT user_id AS scene, ts, event_id AS n, event_type AS speaker, lead(event_type) OVER w AS nxt, lead(event_id) OVER w AS nn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), cooc AS (SELECT least(speaker, nxt) AS char1, greatest(speaker, nxt) AS char2, count(*) AS value FROM spoken WHERE nxt IS NOT NULL AND speaker <> nxt GROUP BY ALL)"
-_COS = _SPOKEN + f", cos AS (SELECT least(speaker, nxt) AS char1, greatest(speaker, nxt) AS char2, sum(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS value FROM spoken JOIN embeddings a ON a.vec_id = n % {EMBEDDINGS} JOIN embeddings b ON b.vec_id = nn % {EMBEDDINGS} WHERE nxt IS NOT NULL GROUP BY ALL)"
+_COS = _SPOKEN + f", cos AS (SELECT least(speaker, nxt) AS char1, greatest(speaker, nxt) AS char2, sum(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS value FROM spoken JOIN embeddings a ON a.vec_id = n % (SELECT count(*) FROM embeddings) JOIN embeddings b ON b.vec_id = nn % (SELECT count(*) FROM embeddings) WHERE nxt IS NOT NULL GROUP BY ALL)"
 _FRAME = _COS + ", names AS (SELECT DISTINCT event_type AS name FROM events), frame AS (SELECT a.name AS char1, b.name AS char2, coalesce(c.value::DOUBLE, 0.0) AS cooc, coalesce(s.value, 0.0) AS cosine FROM names a JOIN names b ON a.name < b.name LEFT JOIN cooc c ON c.char1 = a.name AND c.char2 = b.name LEFT JOIN cos s ON s.char1 = a.name AND s.char2 = b.name)"
 _VALID = "SELECT *, lower(space) AS sp FROM vectors WHERE ((lower(space) = 'w2v' AND len(vec) = 80) OR (lower(space) = 'bert' AND len(vec) = 96)) AND len(list_filter(vec, lambda x: isnan(x))) = 0"
 _GOOD = "cosine_similarity_w2v IS NOT NULL AND NOT isnan(cosine_similarity_w2v)"
@@ -337,6 +398,31 @@ def _masked(column: str) -> str:
     return column
 
 
+def _two_clusters(name: str) -> str:
+    """CTEs: the best cut of the values of a metric into two, by the squared error of every cut of the distinct values."""
+    return (
+        f"{name}_d AS (SELECT value AS v, count(*) AS n FROM {name} GROUP BY value), "
+        f"{name}_s AS (SELECT v, sum(n) OVER w AS n1, sum(n * v) OVER w AS s1, sum(n) OVER () AS n0, sum(n * v) OVER () AS s0 FROM {name}_d WINDOW w AS (ORDER BY v)), "
+        f"{name}_k AS (SELECT {name}.*, (value > (SELECT v FROM {name}_s WHERE n1 < n0 ORDER BY s1 * s1 / n1 + (s0 - s1) * (s0 - s1) / (n0 - n1) DESC, v LIMIT 1))::INTEGER AS cluster FROM {name})"
+    )
+
+
+_FOUR = {"cooc": "count(*)", "w2v": "max(w2v)", "bert": "max(bert)", "bert_least": "min(bert)"}
+_LISTED = "p AS (SELECT least(char1, char2) AS char1, greatest(char1, char2) AS char2, CASE WHEN NOT isnan(cosine_similarity_w2v) THEN cosine_similarity_w2v END AS w2v, CASE WHEN NOT isnan(cosine_similarity_bert) THEN cosine_similarity_bert END AS bert FROM corpus_pairs WHERE char1 IS NOT NULL AND char2 IS NOT NULL)"
+_COMPARE_FOUR = (
+    f"WITH {_LISTED}, "
+    + ", ".join(f"{m} AS (SELECT char1, char2, round(({agg})::DOUBLE, 4) AS value FROM p GROUP BY ALL HAVING {agg} IS NOT NULL), {_two_clusters(m)}" for m, agg in _FOUR.items())
+    + ", keys AS (SELECT DISTINCT char1, char2 FROM p) SELECT char1, char2, "
+    + ", ".join(f"coalesce({m}_k.value, 0.0) AS {m}, coalesce({m}_k.cluster, 0) AS {m}_cluster" for m in _FOUR)
+    + " FROM keys "
+    + " ".join(f"LEFT JOIN {m}_k USING (char1, char2)" for m in _FOUR)
+)
+
+
+def _words(column: str) -> str:
+    return f"list_filter(regexp_split_to_array({column}, {_q(WHITE_SPACE)}), lambda x: x <> '')"
+
+
 SQL = {
     "tokens_clean_count": _with("clean", "SELECT raw.book, coalesce(len(raw.w), 0)::INTEGER AS n_raw, coalesce(len(clean.w), 0)::INTEGER AS n_clean FROM raw JOIN clean USING (book)"),
     "token_positions": _with("tokens", "SELECT book, pos, token FROM tokens"),
@@ -374,4 +460,22 @@ SQL = {
     "shared_vocabulary": f"WITH v AS ({_VALID}) SELECT word, max(book) AS book FROM v WHERE word IS NOT NULL AND book IS NOT NULL GROUP BY word HAVING count(DISTINCT sp) = 2",
     "graph_node_books": "WITH b AS (SELECT word AS id, max(book) AS book FROM vectors WHERE book IS NOT NULL AND word IS NOT NULL GROUP BY word), k AS (SELECT book, (row_number() OVER (ORDER BY book) - 1)::INTEGER AS book_idx FROM (SELECT DISTINCT book FROM b)), n AS (SELECT char1 AS id FROM corpus_pairs UNION SELECT char2 FROM corpus_pairs) SELECT n.id, b.book, book_idx FROM n LEFT JOIN b USING (id) LEFT JOIN k USING (book) WHERE n.id IS NOT NULL",
     "entity_report": _with("aliases", "SELECT count(DISTINCT canonical) AS n_entities, string_agg(DISTINCT canonical, ', ' ORDER BY canonical) AS names FROM aliases"),
+    "metric_compare_four": _COMPARE_FOUR,
+    "book_matrix_dense": f"WITH g AS (SELECT char_book AS x, char2_book AS y, cosine_similarity_w2v AS value FROM corpus_pairs WHERE {_GOOD} AND char_book IS NOT NULL AND char2_book IS NOT NULL), p AS (SELECT least(x, y) AS a, greatest(x, y) AS b, avg(value) AS mean FROM g GROUP BY ALL), books AS (SELECT x AS book FROM g UNION SELECT y FROM g) SELECT i.book AS book_i, j.book AS book_j, round(coalesce(mean, 0.0), 6) AS mean FROM books i CROSS JOIN books j LEFT JOIN p ON a = least(i.book, j.book) AND b = greatest(i.book, j.book)",
+    "w2v_pair_list": f"WITH v AS ({_VALID}), x AS (SELECT book, word, generate_subscripts(vec, 1) AS dim, unnest(vec)::DOUBLE AS x FROM v WHERE sp = 'w2v' AND book IS NOT NULL AND word IS NOT NULL), m AS (SELECT book, word, dim, avg(x) AS x FROM x GROUP BY ALL), e AS (SELECT book, word, list(x ORDER BY dim) AS vec FROM m GROUP BY ALL), p AS (SELECT a.word AS char1, b.word AS char2, round(list_cosine_similarity(a.vec, b.vec), 6) AS value FROM e a JOIN e b ON a.book = b.book AND a.word < b.word WHERE list_dot_product(a.vec, a.vec) > 0 AND list_dot_product(b.vec, b.vec) > 0) SELECT char1, char2, max(value) AS value FROM p GROUP BY ALL",
+    "pairs_with_vectors": f"WITH v AS ({_VALID}) SELECT DISTINCT char1, char2 FROM corpus_pairs WHERE char1 IN (SELECT word FROM v WHERE sp = 'w2v' AND word IS NOT NULL) AND char2 IN (SELECT word FROM v WHERE sp = 'w2v' AND word IS NOT NULL)",
+    "scatter_allowed": _FRAME + f" SELECT char1, char2, cooc, round(cosine, 5) AS cosine FROM frame WHERE char1 IN {ALLOWED} AND char2 IN {ALLOWED}",
+    "mask_labels": f"WITH w AS (SELECT doc_id, {_words(_masked('text'))} AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(list_filter(w, lambda x: length(x) = 6))::INTEGER AS n_kept, coalesce(list_sum(list_transform(CASE WHEN len(w) > 0 THEN w ELSE [''] END, lambda x: CASE WHEN length(x) = 6 THEN 6 ELSE -100 END)), 0)::BIGINT AS total FROM w",
+    "cluster_ranks": "SELECT lang, (dense_rank() OVER (ORDER BY centre) - 1)::INTEGER AS cluster FROM (SELECT lower(substring(trim(lang), 1, 2)) AS lang, avg(length(text)) AS centre FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY ALL)",
+    "dbscan1d": """WITH v AS (SELECT play, n_tokens::DOUBLE AS v, count(*) AS n FROM hyperedges WHERE n_tokens IS NOT NULL GROUP BY ALL),
+near AS (SELECT a.play, a.v, sum(b.n) AS near FROM v a JOIN v b ON a.play IS NOT DISTINCT FROM b.play AND abs(a.v - b.v) <= 3 GROUP BY ALL),
+cores AS (SELECT play, v, (sum(opens) OVER (PARTITION BY play ORDER BY v) - 1)::INTEGER AS cluster FROM (SELECT play, v, (v - lag(v) OVER (PARTITION BY play ORDER BY v) <= 3) IS NOT TRUE AS opens FROM near WHERE near >= 4)),
+labels AS (SELECT v.play, v.v, c.cluster FROM v LEFT JOIN cores c ON v.play IS NOT DISTINCT FROM c.play AND abs(v.v - c.v) <= 3 QUALIFY row_number() OVER (PARTITION BY v.play, v.v ORDER BY abs(v.v - c.v), c.v) = 1)
+SELECT h.row_id, h.play, h.n_tokens, CASE WHEN h.n_tokens IS NOT NULL THEN coalesce(cluster, -1) END AS cluster FROM hyperedges h LEFT JOIN labels l ON h.play IS NOT DISTINCT FROM l.play AND h.n_tokens = l.v""",
+    "greedy_chunks": f"""WITH w AS (SELECT doc_id AS book, {_words(_masked('text'))} AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT book, list_reduce(list_transform(CASE WHEN len(w) > 0 THEN w ELSE [''] END, lambda x: {{'done': []::VARCHAR[], 'open': [x], 'size': length(x)::BIGINT}}), lambda a, x: CASE WHEN a.size + x.size > 510 THEN {{'done': list_append(a.done, array_to_string(a.open, ' ')), 'open': x.open, 'size': x.size}} ELSE {{'done': a.done, 'open': list_concat(a.open, x.open), 'size': a.size + x.size}} END, {{'done': []::VARCHAR[], 'open': []::VARCHAR[], 'size': 0::BIGINT}}) AS f FROM w),
+c AS (SELECT book, CASE WHEN len(f.open) > 0 THEN list_append(f.done, array_to_string(f.open, ' ')) ELSE f.done END AS c FROM f)
+SELECT book, (generate_subscripts(c, 1) - 1)::INTEGER AS chunk_idx, unnest(c) AS text FROM c""",
+    "first_subsequence": f"SELECT doc_id, coalesce(list_min(list_filter(range(1, len(w)), lambda i: w[i] = 'the' AND w[i + 1] = 'lantern')) - 1, 0)::INTEGER AS place FROM (SELECT doc_id, {_words('lower(text)')} AS w FROM documents WHERE text IS NOT NULL)",
+    "tei_tags": r"SELECT record_id, (generate_subscripts(x, 1) - 1)::INTEGER AS idx, unnest(x) AS xml FROM (SELECT record_id, regexp_extract_all(regexp_replace(body, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>', '', 'g'), '(?s)<(?:\w+:)?speaker(?:\s[^>]*)?/>|<(?:\w+:)?speaker(?:\s[^>]*)?>.*?</(?:\w+:)?speaker\s*>') AS x FROM (SELECT record_id, CASE WHEN ltrim(body, chr(65279) || ' ' || chr(10)) LIKE '{%' AND json_valid(ltrim(body, chr(65279) || ' ' || chr(10))) THEN ltrim(body, chr(65279) || ' ' || chr(10))::JSON ->> 'payload' ELSE body END AS body FROM play_records))",
 }

@@ -41,7 +41,7 @@ K, LEAST = 5, 0.75
 SAMPLE, MOST_SAMPLE, SHARE, QUERIES_FOR_CALIBRATION = 24_000, 240_000, 25, 1_500
 BRANCH, LEAF, ROUNDS = 24, 384, 8
 LEAST_CELL, CELL, CELLS = 20_000, 240_000, 3  # vectors of a cell: a third of the collection within these bounds
-MOST_QUERIES = 250_000  # of a cell's copy
+MOST_QUERIES = 1_000_000  # of a cell, beyond which it gets a further copy of its data
 RECALL = 0.98
 LEAST_VISITS = 4
 SLACK = 1e-4  # float32 products are taken a little below the least similarity, then done again in float64

@@ -284,7 +284,7 @@ def _bounded(texts: pa.Array, most: int = 1 << 29) -> list[tuple[int, int]]:
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     out, begin, held = [], 0, 0
     for k, n in enumerate(sizes.tolist()):
-        if held and held + n >= most:
+        if held and n and held + n >= most:
             out.append((begin, k))
             begin, held = k, 0
         held += n

@@ -81,4 +81,4 @@ def test_terms_of_many_words():
 def test_surprise_of_the_plays(spark, small):
     rows = queries.QUERIES["p4_pairs"](spark, small).collect()
     assert rows and all(0 <= r.p_value <= 1 and r.p_value <= r.q_value + 1e-12 <= 1 + 1e-9 and r.expected >= 0 for r in rows)
-    assert all(r.count <= min(r.c1, r.c2) <= r.n for r in rows)
+    assert all(r["count"] <= min(r.c1, r.c2) <= r.n for r in rows)

@@ -12,14 +12,17 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castgraph.functions import mapped
+from castgraph.functions import checkpointed, mapped
 from castgraph.functions.shipping import ship_package
 
 POOLING = ("mean", "cls", "all")
 FIRST, LAST = "[CLS]", "[SEP]"
+BLOCK, LEAST_BLOCK, STEPS = 8192, 128, 512  # word vectors: positions of a step, fewer where a partition would have less than STEPS of them in an iteration
+SHARED, CHUNK, HELD = 64, 1 << 14, 64 << 20  # noise words of a step; words of a row of changes; bytes of changes that the driver adds up, the executors beyond
 
 
 class Embedder(Protocol):
@@ -222,12 +225,174 @@ def word2vec_by_book(books: DataFrame, dim: int = 7, window: int = 15, seed: int
     return mapped(books.select("book", "tokens"), run, schema)
 
 
-def word2vec(tokens: DataFrame, dim: int = 7, window: int = 15, seed: int = 42, sentence: int = 1000, partitions: int = 1, iterations: int = 10) -> DataFrame:
-    """(word, vec) by Spark ML on (book, pos, token): a book's tokens in sentences of ``sentence`` positions."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def _blocks(batches: Iterator, words: np.ndarray, sentence: int, window: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sentences of token arrays in blocks of about ``size`` positions: a block's word numbers, and the place of each position among them; ``window`` empty places (-1) follow each sentence."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    known, block, held = pa.array(words, pa.string()), [], 0
+    for batch in batches:
+        ids = pc.index_in(batch.column(0).flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        for row in np.split(ids, ends[:-1]):
+            row = row[row >= 0]  # null tokens
+            for k in range(0, len(row), sentence):
+                part = row[k : k + sentence]
+                if len(part) > 1:  # a single word has no context
+                    block += [part, np.full(window, -1, np.int32)]
+                    held += len(part) + window
+                if held >= size:
+                    yield _numbered(block)
+                    block, held = [], 0
+    if block:
+        yield _numbered(block)
+
+
+def _numbered(block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ids, at = np.unique(np.concatenate(block), return_inverse=True)
+    return ids[1:], at - 1  # the empty places are the smallest
+
+
+def _stepped(x: np.ndarray, squares: np.ndarray, rows: np.ndarray, steps: np.ndarray, rate: float) -> None:
+    """Adaptive steps: each number by its sum of squared gradients, so neither frequent nor rare words run away."""
+    squares[rows] += steps * steps
+    x[rows] += rate * steps / np.sqrt(squares[rows])
+
+
+def cbow_block(model: list[np.ndarray], ids: np.ndarray, at: np.ndarray, reach: int, noise: np.ndarray, rate: float, negative: int = 10) -> None:
+    """One step of continuous bag of words over all positions of a block. model: input and output vectors and their squared gradients. noise: the block's drawn words; each
+    counts negative / len(noise) times at every position. All sums over windows are differences of running sums."""
+    into, out, into_squares, out_squares = model
+    n, u, dim = len(at), len(ids), into.shape[1]
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(u))  # every word occurs
+    at = at.astype(np.intp)
+    word = (at >= 0).astype(np.float32)
+
+    def around(x: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(x), n + 2 * reach + 1), np.float32)
+        np.cumsum(x, axis=1, out=total[:, reach + 1 : n + reach + 1])
+        total[:, n + reach + 1 :] = total[:, n + reach, None]
+        total = total[:, 2 * reach + 1 :] - total[:, :n]
+        total -= x
+        return total
+
+    def by_word(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x.take(order, axis=1), first, axis=1).T
+
+    own, target = np.zeros((2, dim, u + 1), np.float32)  # the last is the empty place
+    own[:, :u], target[:, :u] = into[ids].T, out[ids].T
+    own, target = own.take(at, axis=1, mode="wrap"), target.take(at, axis=1, mode="wrap")
+    count = around(word[None])[0] * word
+    live = (count > 0).astype(np.float32)
+    hidden = around(own)
+    hidden *= live / np.maximum(count, 1)  # 0 where nothing is learned
+    noise, times = np.unique(noise, return_counts=True)
+    others = out[noise]
+    with np.errstate(over="ignore"):
+        miss = 1 / (1 + np.exp(np.einsum("dn,dn->n", hidden, target)))
+        wrong = -others @ hidden
+        np.exp(wrong, out=wrong)
+    wrong += 1
+    np.divide((times * (-negative / times.sum())).astype(np.float32)[:, None], wrong, out=wrong)
+    of = np.full(u + 1, -1)  # a position's own word is no noise to it
+    _, mine, drawn = np.intersect1d(ids, noise, assume_unique=True, return_indices=True)
+    of[mine] = drawn
+    of = of.take(at, mode="wrap")
+    same = np.flatnonzero(of >= 0)
+    wrong[of[same], same] = 0
+    target *= miss
+    target += others.T @ wrong
+    target *= live
+    hit = by_word(miss * hidden)
+    _stepped(into, into_squares, ids, by_word(around(target)), rate)
+    steps = wrong @ hidden.T
+    steps[drawn] += hit[mine]
+    rest = np.ones(u, bool)
+    rest[mine] = False
+    _stepped(out, out_squares, ids[rest], hit[rest], rate)
+    _stepped(out, out_squares, noise, steps, rate)
+
+
+def word2vec_of(books: DataFrame, column: str = "tokens", dim: int = 7, window: int = 15, seed: int = 42, sentence: int = 1000, partitions: int = 1, iterations: int = 10, negative: int = 10, rate: float = 0.2) -> DataFrame:
+    """(word, vec) of a corpus of token arrays, in sentences of ``sentence`` tokens: continuous bag of words with negative samples.
+
+    Every token of every sentence is a target in every iteration. A block of about BLOCK positions makes one step: its reach is drawn from 1 to ``window``, its SHARED noise words by
+    their frequency to the power of 0.75. ``partitions`` models are trained side by side in an iteration, then a word's changes are added up and divided by the root of
+    how many models met it, as its adaptive steps would be for so many more examples, and its squared gradients are added up.
+    Words are counted first; sentences are then kept as word numbers in the checkpoint folder.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = books.sparkSession
+    rows = books.select(F.col(column).alias("words"))
+    counts = rows.select(F.explode("words").alias("word")).filter("word IS NOT NULL").groupBy("word").count().orderBy("word").toArrow()
+    words, share = counts.column("word").to_numpy(), np.cumsum(counts.column("count").to_numpy() ** 0.75)
+    if not len(words):
+        return spark.createDataFrame([], "word string, vec array<double>")
+    known = spark.sparkContext.broadcast((words, share / share[-1]))
+    size = int(min(BLOCK, max(LEAST_BLOCK, sum(counts.column("count").to_pylist()) // (STEPS * partitions))))
+    kind = pa.int16() if BLOCK + sentence + window < 1 << 15 else pa.int32()
+    wide = 4 * dim
+
+    def numbered(batches: Iterator) -> Iterator:
+        for ids, at in _blocks(batches, known.value[0], sentence, window, size):
+            yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int32())), pa.array([at], pa.list_(kind))], names=["ids", "at"])
+
+    blocks = checkpointed(mapped(rows, numbered, f"ids array<int>, at array<{'smallint' if kind == pa.int16() else 'int'}>").repartition(partitions))
+    start = (np.random.default_rng(seed).random((len(words), dim)) - 0.5) / dim
+    model = [start.astype(np.float32), np.zeros_like(start, np.float32), *(np.full_like(start, 0.01, np.float32) for _ in range(2))]
+
+    def trained(shared: object, iteration: int) -> Callable:
+        def run(batches: Iterator) -> Iterator:
+            part = TaskContext.get().partitionId()
+            rng, now = np.random.default_rng([seed, iteration, part]), [x.copy() for x in shared.value]
+            met = np.zeros(len(now[0]), bool)
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    ids, at = (batch.column(c)[k].values.to_numpy() for c in (0, 1))
+                    noise = np.minimum(np.searchsorted(known.value[1], rng.random(SHARED)), len(met) - 1)
+                    cbow_block(now, ids, at, int(rng.integers(1, window + 1)), noise, rate * (1 - iteration / iterations), negative)
+                    met[ids] = met[noise] = True
+            for lo in range(0, len(met), CHUNK):
+                mine = lo + np.flatnonzero(met[lo : lo + CHUNK])
+                if len(mine):
+                    values = np.concatenate([x[mine] - y[mine] for x, y in zip(now, shared.value, strict=True)], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([lo // CHUNK], pa.int32()), pa.array([part], pa.int32()), pa.array([mine], pa.list_(pa.int32())), pa.array([values.ravel()], pa.list_(pa.float32()))], names=["chunk", "part", "ids", "vecs"])
+
+        return run
+
+    def averaged(table: pa.Table) -> pa.Table:
+        lo = table.column("chunk")[0].as_py() * CHUNK
+        total, n = np.zeros((CHUNK, wide)), np.zeros(CHUNK)
+        for k in np.argsort(table.column("part").to_numpy()):
+            at = table.column("ids")[k].values.to_numpy() - lo
+            total[at] += table.column("vecs")[k].values.to_numpy().reshape(-1, wide)
+            n[at] += 1
+        at = np.flatnonzero(n)
+        total[:, : 2 * dim] /= np.sqrt(np.maximum(n, 1))[:, None]
+        return pa.table({"ids": pa.array([lo + at], pa.list_(pa.int32())), "vecs": pa.array([total[at].astype(np.float32).ravel()], pa.list_(pa.float32()))})
+
+    for iteration in range(iterations):
+        shared = spark.sparkContext.broadcast(model)
+        parts = mapped(blocks, trained(shared, iteration), "chunk int, part int, ids array<int>, vecs array<float>")
+        if partitions * len(words) * wide * 4 <= HELD:  # no shuffle
+            table = parts.toArrow()
+            merged = pa.concat_tables([averaged(table.filter(pc.equal(table.column("chunk"), c))) for c in table.column("chunk").unique()]) if len(table) else table
+        else:
+            merged = parts.groupBy("chunk").applyInArrow(averaged, "ids array<int>, vecs array<float>").toArrow()
+        for k in range(len(merged)):
+            at, values = merged.column("ids")[k].values.to_numpy(), merged.column("vecs")[k].values.to_numpy().reshape(-1, wide)
+            for i, x in enumerate(model):
+                x[at] += values[:, i * dim : (i + 1) * dim]
+        shared.destroy()
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) * dim + 1, dim, dtype=np.int32)), pa.array(model[0].astype(np.float64).ravel()))
+    return spark.createDataFrame(pa.table({"word": pa.array(words, pa.string()), "vec": vectors}), "word string, vec array<double>")
+
 
+def word2vec(tokens: DataFrame, dim: int = 7, window: int = 15, seed: int = 42, sentence: int = 1000, partitions: int = 1, iterations: int = 10) -> DataFrame:
+    """(word, vec) of a token table (book, pos, token): a book's tokens in sentences of ``sentence`` positions."""
     part = (F.col("pos") / sentence).cast("bigint")
-    sentences = tokens.groupBy("book", part.alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]).alias("words"))
-    model = Word2Vec(vectorSize=dim, windowSize=window, minCount=1, maxIter=iterations, seed=seed, numPartitions=partitions, inputCol="words", outputCol="v").fit(sentences)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    sentences = tokens.groupBy("book", part.alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda t: t["token"]).alias("tokens"))
+    return word2vec_of(sentences, "tokens", dim, window, seed, sentence, partitions, iterations)

@@ -240,7 +240,11 @@ def tei_characters(spark, d):
 
 
 def word2vec_vectors(spark, d):
-    return embed.word2vec(_canonical(spark, d), partitions=8)
+    """The tokens of ``_canonical``, replaced inside their row, which saves the shuffle of the tokens."""
+    names = {r.alias: r.canonical for r in entities.first_match(_aliases(spark)).collect()}
+    to = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
+    docs = once(table(spark, d, "documents").select("text"), "tokens", text.clean_tokens(F.col("text")))
+    return embed.word2vec_of(docs.select(F.transform("tokens", lambda t: F.when(t.isin(list(names)), to[t]).otherwise(t)).alias("tokens")), partitions=8)
 
 
 def pca_projection(spark, d):

@@ -1,5 +1,7 @@
 """The chains of a book and a corpus, embeddings by span and batch, files."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -46,6 +48,61 @@ def test_cbow_brings_shared_contexts_together():
     assert s[of][:, of].mean() > s[of][:, ~of].mean() + 0.3
 
 
+def _kinds(n):
+    rng = np.random.default_rng(1)
+    return [[f"{'ab'[kind]}{i}" for kind in rng.integers(0, 2, 12) for i in rng.integers(0, 4, 6)] for _ in range(n)]
+
+
+def _apart(rows):
+    x = np.array([r.vec for r in rows])
+    s = (x := x / np.linalg.norm(x, axis=1, keepdims=True)) @ x.T
+    of = np.array([r.word[0] == "a" for r in rows])
+    return s[of][:, of].mean() - s[of][:, ~of].mean()
+
+
+def test_word_vectors_of_a_corpus_in_time(spark):
+    """720,000 tokens; every word has a vector, null tokens and single words do no harm."""
+    books = spark.createDataFrame([(t,) for t in [*_kinds(10_000), ["alone"], [], [None, "a0", None, "a1"], None]], "tokens array<string>").repartition(4)
+    began = time.time()
+    rows = embed.word2vec_of(books, window=3, partitions=4).collect()
+    assert time.time() - began < 45
+    assert sorted(r.word for r in rows) == sorted([f"{k}{i}" for k in "ab" for i in range(4)] + ["alone"]) and all(len(r.vec) == 7 for r in rows)
+    assert _apart([r for r in rows if r.word != "alone"]) > 0.3
+
+
+def test_changes_added_by_the_executors_and_token_tables(spark, monkeypatch):
+    rows = [(b, i, t) for b, ts in enumerate(_kinds(300)) for i, t in enumerate(ts)]
+    tokens = spark.createDataFrame(rows, "book int, pos int, token string")
+    here = {r.word: r.vec for r in embed.word2vec(tokens, window=3, partitions=2).collect()}
+    monkeypatch.setattr(embed, "HELD", 0)
+    monkeypatch.setattr(embed, "CHUNK", 3)
+    there = embed.word2vec(tokens, window=3, partitions=2).collect()
+    assert {r.word for r in there} == set(here) and _apart(there) > 0.3
+    assert embed.word2vec(tokens.filter("book < 0")).count() == 0
+
+
+def test_a_step_follows_the_gradient():
+    """Windowed sums by running sums give the same step as sums position by position."""
+    rng = np.random.default_rng(2)
+    ids, at = np.array([2, 5, 7]), np.array([0, 1, 2, 0, 1, -1, -1, 2, 0, -1, -1])
+    noise, reach = np.array([5, 9, 9, 0]), 2
+    model = [rng.standard_normal((10, 4)).astype(np.float32) for _ in range(2)] + [np.full((10, 4), 1e9, np.float32) for _ in range(2)]
+    into, out = (x.astype(float) for x in model[:2])
+    want = [np.zeros((10, 4)), np.zeros((10, 4))]
+    for i in np.flatnonzero(at >= 0):
+        near = [j for j in range(max(0, i - reach), min(len(at), i + reach + 1)) if j != i and at[j] >= 0]
+        h, own = into[ids[at[near]]].mean(0), ids[at[i]]
+        pull = [(own, 1 - 1 / (1 + np.exp(-h @ out[own])))] + [(w, -10 / 4 / (1 + np.exp(-h @ out[w]))) for w in noise if w != own]
+        for w, g in pull:
+            want[1][w] += g * h
+            for j in near:
+                want[0][ids[at[j]]] += g * out[w]
+    before = [x.copy() for x in model[:2]]
+    embed.cbow_block(model, ids, at, reach, noise, 1e3)
+    for x, y, z in zip(before, model[:2], want, strict=True):
+        assert np.allclose((y - x) / 1e3 * np.sqrt(1e9), z, atol=2e-2)
+
+
 def test_ten_columns_of_a_book(spark, book, tmp_path):
     rows = book.compared("ham", k=2)
     got = rows.collect()

@@ -7,8 +7,8 @@ Trees are broadcast; their size is bounded by the sample's.  The number of leaf
 until RECALL of the true neighbours (by brute force over the sample, within k, at the least similarity) is reached.
 
 Search.  Every vector descends the tree best bin first: a priority queue of nodes, best similarity to the centre on top; a
-popped inner node pushes its children, a popped leaf is a visit.  Queues of a batch of queries advance together as
-arrays.  A pair that either vector finds counts for both lists, which halves the visits.  Leaves are grouped into cells, neighbouring leaves of the tree;
+popped inner node pushes its children, a popped leaf is a visit.  The order in which the queue pops leaves is worked out for a batch of
+queries from the least similarities on the leaves' ways.  A pair that either vector finds counts for both lists, which halves the visits.  Leaves are grouped into cells, neighbouring leaves of the tree;
 a vector is shuffled once to its own cell as data, and once to
 each further cell that holds one of its visited leaves, as a query.  A cell compares its queries with the data of the visited
 leaves by matrix products, and returns the best k of each. Cells are read as a sorted stream, data first, so a task holds one cell's data and one batch of
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ LEAST_CELL, CELL, CELLS = 20_000, 240_000, 3  # vectors of a cell: a third of th
 MOST_QUERIES = 1_000_000  # of a cell, beyond which it gets a further copy of its data
 RECALL = 0.98
 LEAST_VISITS = 4
+DENSE, UPPER, ROWS = 1024, 100, 512  # nodes of a tree whose similarities are all worked out, of the upper part of a larger one, and rows at a time
+TIE = 1e-6  # weight of the next similarity, which decides between leaves with the same least one on their way
 SLACK = 1e-4  # float32 products are taken a little below the least similarity, then done again in float64
 BATCH = 2048
 HELD = 1 << 21  # pairs kept before all but the best of each are dropped
@@ -68,6 +71,38 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     return label
 
 
+@dataclass
+class _Part:
+    """A node and what follows it: centres without its own; by level, places and those of their parents; places and numbers of the leaves."""
+
+    centres: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray]]
+    leaves: np.ndarray
+    names: np.ndarray
+
+    def least(self, x: np.ndarray, top: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """nodes x rows: the least similarity on the way to a node, and the least on the way after that one (2 if none); top and after are the first node's.
+        rows x leaves: keys that fall in the order in which leaves are popped; where both are equal, by the leaf's own similarity."""
+        near = self.centres @ x.T
+        low, then = (np.empty((len(near) + 1, len(x)), np.float32) for _ in range(2))
+        low[0], then[0] = top, after
+        for at, parents in self.levels:
+            s, over = near[at - 1], low[parents]
+            low[at] = np.minimum(over, s)
+            then[at] = np.where(s < over, np.float32(2), np.minimum(then[parents], s))
+        return low, then, (low[self.leaves] + TIE * (then[self.leaves] + TIE * near[self.leaves - 1].astype(np.float64))).T
+
+
+def _first(keys: np.ndarray, names: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Fills out with each row's names by falling keys; the last key taken."""
+    n = min(out.shape[1], keys.shape[1])
+    best = np.argpartition(-keys, n - 1, axis=1)[:, :n]
+    k = np.take_along_axis(keys, best, 1)
+    order = np.argsort(-k, axis=1, kind="stable")
+    out[:, :n] = np.take_along_axis(names, np.take_along_axis(best, order, 1), 1)
+    return k.min(1)
+
+
 @dataclass
 class Tree:
     """children: rows of node numbers, -1 beyond the last; leaf: a node's leaf number or -1; cell: of each leaf; blocks and salts: of each cell."""
@@ -120,44 +155,75 @@ class Tree:
         blocks = np.maximum(1, np.ceil(np.bincount(cell, sizes) / (2 * CELL))).astype(np.int64)
         return Tree(np.array(centres, np.float32), table, np.array(leaf), np.array(cell), blocks, np.ones_like(blocks), len(sizes))
 
+    @cached_property
+    def parts(self) -> tuple[_Part, np.ndarray, list[_Part]]:
+        """The upper part of the tree, the places in it of the inner nodes at its lower edge, and the part below each of these; a small tree is all upper part."""
+        n = len(self.children)
+        row, column = np.nonzero(self.children >= 0)
+        parent, depth = np.full(n, -1), np.zeros(n, np.int64)
+        parent[self.children[row, column]] = row
+        for v in range(1, n):  # a node's subtree is the run of numbers that follows it
+            depth[v] = depth[parent[v]] + 1
+        nodes = np.cumsum(np.bincount(depth))
+        cut = len(nodes) - 1 if n <= DENSE else max(1, int(np.searchsorted(nodes, UPPER, "right")) - 1)
+
+        def part(nodes: np.ndarray) -> _Part:
+            levels = [np.flatnonzero(depth[nodes] == d) for d in range(depth[nodes[0]] + 1, depth[nodes].max() + 1)]
+            leaves = np.flatnonzero(self.leaf[nodes] >= 0)
+            return _Part(self.centres[nodes[1:]], [(at, np.searchsorted(nodes, parent[nodes[at]])) for at in levels], leaves, self.leaf[nodes[leaves]])
+
+        upper = np.flatnonzero(depth <= cut)
+        edge = np.flatnonzero((depth == cut) & (self.leaf < 0))
+        ends = [next((w for w in range(v + 1, n) if depth[w] <= cut), n) for v in edge]
+        return part(upper), np.searchsorted(upper, edge), [part(np.arange(v, w)) for v, w in zip(edge, ends, strict=True)]
+
     def visit(self, x: np.ndarray, visits: int) -> np.ndarray:
-        """The leaves each row visits, best bin first; -1 where there are no more."""
-        n, width = len(x), self.children.shape[1]
-        out = np.full((n, visits), -1, np.int64)
+        """The leaves each row visits, best bin first; -1 where there are no more.
+
+        A queue pops a leaf when everything above the least similarity on its path has been popped, so the leaves come by that similarity, those of equal ones by the least
+        below it. Both are worked out for all rows and nodes of the upper part at once, and then below the best edges only, as many as could hold a visited leaf.
+        """
+        out = np.full((len(x), visits), -1, np.int64)
         if self.leaf[0] >= 0:
             out[:, 0] = self.leaf[0]
             return out
-        depth = 64
-        keys, nodes = np.full((n, depth), -np.inf, np.float32), np.full((n, depth), -1, np.int64)
-        keys[:, 0], nodes[:, 0] = 2.0, 0
-        used = np.ones(n, np.int64)
-        got = np.zeros(n, np.int64)
-        live = np.arange(n)
-        while len(live):
-            top = keys[live].argmax(1)
-            node = nodes[live, top]
-            more = keys[live, top] > -np.inf
-            live, top, node = live[more], top[more], node[more]
-            keys[live, top] = -np.inf
-            leaf = self.leaf[node]
-            at = leaf >= 0
-            out[live[at], got[live[at]]] = leaf[at]
-            got[live[at]] += 1
-            inner, parents = live[~at], node[~at]
-            if len(inner):
-                if int(used[inner].max()) + width > keys.shape[1]:
-                    keys = np.concatenate([keys, np.full_like(keys, -np.inf)], 1)
-                    nodes = np.concatenate([nodes, np.full_like(nodes, -1)], 1)
-                for p in np.unique(parents):  # one product for all queries at the same node
-                    rows = inner[parents == p]
-                    kids = self.children[p][self.children[p] >= 0]
-                    columns = used[rows][:, None] + np.arange(len(kids))
-                    keys[rows[:, None], columns] = x[rows] @ self.centres[kids].T
-                    nodes[rows[:, None], columns] = kids
-                    used[rows] += len(kids)
-            live = live[got[live] < visits]
+        for k in range(0, len(x), ROWS):
+            self._visit(x[k : k + ROWS], out[k : k + ROWS])
         return out
 
+    def _visit(self, x: np.ndarray, out: np.ndarray) -> None:
+        upper, edge, below = self.parts
+        start = np.full((2, len(x)), 2.0, np.float32)
+        least, after, flat = upper.least(x, *start)
+        if not len(edge):
+            _first(flat, np.broadcast_to(upper.names, flat.shape), out)
+            return
+        bound, visits, todo = least[edge].T, out.shape[1], np.arange(len(x))
+        most = max(len(b.names) for b in below)
+        tried = int(max(8, -(-2 * visits * len(below) // sum(len(b.names) for b in below))))
+        while len(todo):
+            tried = min(tried, len(edge))
+            best = np.argpartition(-bound[todo], tried - 1, axis=1)[:, :tried]
+            chosen = np.zeros((len(todo), len(edge)), bool)
+            chosen[np.arange(len(todo))[:, None], best] = True
+            width = flat.shape[1]
+            keys, names = np.full((len(todo), width + tried * most), -np.inf), np.full((len(todo), width + tried * most), -1)
+            keys[:, :width], names[:, :width] = flat[todo], upper.names
+            used = np.full(len(todo), width)
+            for e in np.flatnonzero(chosen.any(0)):  # one product for all rows at the same edge
+                rows, part = np.flatnonzero(chosen[:, e]), below[e]
+                mine = todo[rows]
+                at = used[rows][:, None] + np.arange(len(part.names))
+                keys[rows[:, None], at] = part.least(x[mine], least[edge[e], mine], after[edge[e], mine])[2]
+                names[rows[:, None], at] = part.names
+                used[rows] += len(part.names)
+            found = np.full((len(todo), visits), -1, np.int64)
+            last = _first(keys, names, found)
+            rest = np.where(chosen, -np.inf, bound[todo]).max(1)
+            whole = (last > rest + 3 * TIE) | (tried == len(edge))
+            out[todo[whole]] = found[whole]
+            todo, tried = todo[~whole], 2 * tried
+
     def calibrate(self, x: np.ndarray, k: int, least: float, total: int | None = None, both: bool = False) -> None:
         """Sets visits to the fewest that reach RECALL of the sample's neighbours, and salts by the visits of each cell; both: a pair found by either of its vectors is found."""
         at = np.linspace(0, len(x) - 1, min(len(x), QUERIES_FOR_CALIBRATION)).astype(np.int64)

@@ -22,6 +22,7 @@ from castgraph.functions.shipping import ship_package
 POOLING = ("mean", "cls", "all")
 FIRST, LAST = "[CLS]", "[SEP]"
 BLOCK, LEAST_BLOCK, STEPS = 8192, 128, 512  # word vectors: positions of a step, fewer where a partition would have less than STEPS of them in an iteration
+LEAST_PART = 1 << 19  # tokens; models of fewer have too few steps for the changes of several to add up well
 SHARED, CHUNK, HELD = 64, 1 << 14, 64 << 20  # noise words of a step; words of a row of changes; bytes of changes that the driver adds up, the executors beyond
 
 
@@ -318,7 +319,7 @@ def word2vec_of(books: DataFrame, column: str = "tokens", dim: int = 7, window:
     """(word, vec) of a corpus of token arrays, in sentences of ``sentence`` tokens: continuous bag of words with negative samples.
 
     Every token of every sentence is a target in every iteration. A block of about BLOCK positions makes one step: its reach is drawn from 1 to ``window``, its SHARED noise words by
-    their frequency to the power of 0.75. ``partitions`` models are trained side by side in an iteration, then a word's changes are added up and divided by the root of
+    their frequency to the power of 0.75. ``partitions`` models (fewer for less than LEAST_PART tokens each) are trained side by side in an iteration, then a word's changes are added up and divided by the root of
     how many models met it, as its adaptive steps would be for so many more examples, and its squared gradients are added up.
     Words are counted first; sentences are then kept as word numbers in the checkpoint folder.
     """
@@ -332,7 +333,9 @@ def word2vec_of(books: DataFrame, column: str = "tokens", dim: int = 7, window:
     if not len(words):
         return spark.createDataFrame([], "word string, vec array<double>")
     known = spark.sparkContext.broadcast((words, share / share[-1]))
-    size = int(min(BLOCK, max(LEAST_BLOCK, sum(counts.column("count").to_pylist()) // (STEPS * partitions))))
+    tokens = sum(counts.column("count").to_pylist())
+    partitions = max(1, min(partitions, tokens // LEAST_PART))
+    size = int(min(BLOCK, max(LEAST_BLOCK, tokens // (STEPS * partitions))))
     kind = pa.int16() if BLOCK + sentence + window < 1 << 15 else pa.int32()
     wide = 4 * dim
 

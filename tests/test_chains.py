@@ -60,8 +60,9 @@ def _apart(rows):
     return s[of][:, of].mean() - s[of][:, ~of].mean()
 
 
-def test_word_vectors_of_a_corpus_in_time(spark):
+def test_word_vectors_of_a_corpus_in_time(spark, monkeypatch):
     """720,000 tokens; every word has a vector, null tokens and single words do no harm."""
+    monkeypatch.setattr(embed, "LEAST_PART", 100_000)
     books = spark.createDataFrame([(t,) for t in [*_kinds(10_000), ["alone"], [], [None, "a0", None, "a1"], None]], "tokens array<string>").repartition(4)
     began = time.time()
     rows = embed.word2vec_of(books, window=3, partitions=4).collect()
@@ -74,6 +75,7 @@ def test_changes_added_by_the_executors_and_token_tables(spark, monkeypatch):
     rows = [(b, i, t) for b, ts in enumerate(_kinds(300)) for i, t in enumerate(ts)]
     tokens = spark.createDataFrame(rows, "book int, pos int, token string")
     here = {r.word: r.vec for r in embed.word2vec(tokens, window=3, partitions=2).collect()}
+    monkeypatch.setattr(embed, "LEAST_PART", 5_000)
     monkeypatch.setattr(embed, "HELD", 0)
     monkeypatch.setattr(embed, "CHUNK", 3)
     there = embed.word2vec(tokens, window=3, partitions=2).collect()
